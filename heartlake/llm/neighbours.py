@@ -32,6 +32,7 @@ class GraphIndex:
     in.  ``margin``: how much less similar than the nearest centre another may
     be to be visited.  ``width``: dimensions used to navigate.  ``degree``,
     ``pool``, ``expand``, ``relax``: of the graph and its beam search.
+    ``copies_per_task``: exact copies of one vector that one task expands.
     """
 
     dim: int = 768
@@ -42,10 +43,11 @@ class GraphIndex:
     visits: int = 2
     margin: float = 0.03
     width: int = 128
-    degree: int = 24
+    degree: int = 32
     pool: int = 64
     expand: int = 20
     relax: float = 1.05
+    copies_per_task: int = 200_000
     seed: int = 7
 
 
@@ -72,13 +74,13 @@ def _sample(df: DataFrame, id_col: str, features: str, rows: int, index: GraphIn
 
 
 def _copies(df: DataFrame, id_col: str, features: str, index: GraphIndex) -> DataFrame:
-    """``(vec_id, rep)`` of the usable vectors that have exact copies; ``rep`` is the smallest id among them."""
+    """``(vec_id, rep, n)`` of the usable vectors that have exact copies; ``rep`` is the smallest id of the ``n``."""
     top, low = F.array_max(features), F.array_min(features)
     finite = ~F.isnan(top) & (top < F.lit(float("inf"))) & (low > F.lit(float("-inf"))) & ~F.exists(features, lambda x: x.isNull())
     usable = (F.size(features) == index.dim) & finite & ((top != 0) | (low != 0))
     hashed = df.where(usable).select(F.col(id_col).alias("vec_id"), F.xxhash64(features).alias("h1"), F.xxhash64(F.lit(index.seed), features).alias("h2"))
     classes = hashed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return hashed.join(classes, ["h1", "h2"]).select("vec_id", "rep")
+    return hashed.join(classes, ["h1", "h2"]).select("vec_id", "rep", "n")
 
 
 def _route(index: GraphIndex, centres: np.ndarray, parts: np.ndarray):
@@ -206,10 +208,14 @@ def nearest(df: DataFrame, id_col: str = "vec_id", features: str = "features", i
     )
     # the set has at most k * (k + 1) rows of each shard part a vector was searched in
     lists = others.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), F.col("other_id").alias("id")))), 1, k + 1).alias("near"))
-    single = lists.withColumnRenamed("rep", "vec_id")
-    of_copies = copies.where(F.col("vec_id") != F.col("rep")).join(lists, "rep").select("vec_id", "near")
+    # each copy takes the list of its class, large classes by salts; all others are their own class
+    salts = F.ceil(F.col("n") / index.copies_per_task).cast("bigint")
+    salted = copies.select("rep", F.col("vec_id").alias("copy_id"), F.pmod(F.xxhash64("vec_id"), salts).alias("salt"))
+    large = copies.where(F.col("vec_id") == F.col("rep")).select("rep", salts.alias("salts"))
+    spread = lists.join(large, "rep", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)))
+    everyone = spread.join(salted, ["rep", "salt"], "left").select(F.when(F.col("salts").isNull(), F.col("rep")).otherwise(F.col("copy_id")).alias("vec_id"), "near").where(F.col("vec_id").isNotNull())
     own = F.slice(F.filter("near", lambda x: x["id"] != F.col("vec_id")), 1, k)
-    out = single.unionByName(of_copies).select("vec_id", F.posexplode(own).alias("rank", "x"))
+    out = everyone.select("vec_id", F.posexplode(own).alias("rank", "x"))
     return out.select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("other_id"), (-F.col("x.far")).alias("cosine"))
 
 

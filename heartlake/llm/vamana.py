@@ -29,7 +29,7 @@ class ShardGraph:
     neighbour is nearer to it than the point is, by that factor.
     """
 
-    def __init__(self, points: np.ndarray, degree: int = 16, pool: int = 32, expand: int = 12, relax: float = 1.1, again: bool = True, seed: int = 1):
+    def __init__(self, points: np.ndarray, degree: int = 16, pool: int = 32, expand: int = 12, relax: float = 1.1, again: bool = False, seed: int = 1):
         self.points = np.ascontiguousarray(points, dtype=np.float32)
         self.sq = np.einsum("ij,ij->i", self.points, self.points)
         self.degree, self.pool, self.expand, self.relax, self.again = degree, pool, expand, relax, again
