@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .vamana import ShardGraph, orthonormal
 from .vectors import matrix, pack, unit, unpack
 
@@ -31,8 +32,10 @@ class GraphIndex:
     query then searches all its parts.  ``visits``: shards a vector is searched
     in.  ``margin``: how much less similar than the nearest centre another may
     be to be visited.  ``width``: dimensions used to navigate.  ``degree``,
-    ``pool``, ``expand``, ``relax``: of the graph and its beam search.
+    ``pool``, ``expand``, ``relax``: of the graph and its beam search;
+    ``build_pool`` and ``build_expand`` hold while it is built.
     ``copies_per_task``: exact copies of one vector that one task expands.
+    ``broadcast_ids``: ids that may be broadcast (8 bytes each).
     """
 
     dim: int = 768
@@ -40,14 +43,17 @@ class GraphIndex:
     sample: int = 8192
     shard_rows: int = 4096
     most_centres: int = 1024
-    visits: int = 2
-    margin: float = 0.03
-    width: int = 128
+    visits: int = 3
+    margin: float = 0.02
+    width: int = 96
     degree: int = 32
     pool: int = 64
     expand: int = 20
+    build_pool: int = 48
+    build_expand: int = 16
     relax: float = 1.05
     copies_per_task: int = 200_000
+    broadcast_ids: int = 500_000
     seed: int = 7
 
 
@@ -143,7 +149,8 @@ def _search_shard(index: GraphIndex):
             return none
         u = unit(full)
         low = u @ orthonormal(index.dim, index.width, index.seed)
-        graph = ShardGraph(low[:members], index.degree, index.pool, index.expand, index.relax, seed=index.seed)
+        graph = ShardGraph(low[:members], index.degree, index.build_pool, index.build_expand, index.relax, seed=index.seed)
+        graph.pool, graph.expand = index.pool, index.expand
         own, _ = graph.search(low[:members], start=np.arange(members, dtype=np.int32))
         found = [own, graph.search(low[members:])[0]] if len(ids) > members else [own]
         beams = np.concatenate(found)
@@ -194,10 +201,12 @@ def nearest(df: DataFrame, id_col: str = "vec_id", features: str = "features", i
     share = np.bincount((sample @ centres.T).argmax(1), minlength=len(centres)) / len(sample)
     parts = np.maximum(1, np.ceil(share * rows / (2 * index.shard_rows))).astype(np.int64)
 
-    copies = _copies(df, "vec_id", "features", index)
+    copies = cut(_copies(df, "vec_id", "features", index))
     extra = copies.where(F.col("vec_id") != F.col("rep")).select("vec_id")
-    routed = df.join(extra, "vec_id", "left_anti").mapInArrow(_route(index, centres, parts), "shard int, part int, home boolean, vec_id bigint, data binary")
-    found = routed.groupBy("shard", "part").applyInArrow(_search_shard(index), "vec_id bigint, other_id bigint, cosine double")
+    # the ids that stay out go to every task only if few; else both sides are shuffled by id
+    few_extra = extra.count() <= index.broadcast_ids
+    routed = df.mapInArrow(_route(index, centres, parts), "shard int, part int, home boolean, vec_id bigint, data binary")
+    found = routed.join(F.broadcast(extra) if few_extra else extra, "vec_id", "left_anti").groupBy("shard", "part").applyInArrow(_search_shard(index), "vec_id bigint, other_id bigint, cosine double")
 
     # copies: each class stands for its k + 1 smallest ids
     few = copies.withColumn("no", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("no") <= k + 1).select("rep", F.col("vec_id").alias("copy_id"))
