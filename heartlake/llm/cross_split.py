@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.listings import same_file, split_name
 from ..operators.joins import salted_join
+from ..session import cut
 from .near_vectors import SignHashes, near_pairs
 from .passages import covered_length, fenced, matched_passages
 
@@ -43,20 +44,14 @@ def record_pairs(cache: DataFrame, rule: SignHashes = SignHashes()) -> DataFrame
     classes are pairs.  Classes keep their records as rows, never as lists.
     """
     named = cache.where(F.trim("record_id") != "").select("vec_id", fenced("record", F.trim("record_id")).alias("record"), "features")
-    classes = named.where(F.size("features") == rule.dim).groupBy(F.xxhash64("features").alias("h1"), F.xxhash64(F.lit(rule.seed), "features").alias("h2"), "record").agg(F.min("vec_id").alias("vec_id"))
-    reps = classes.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"))
-    members = classes.join(reps, ["h1", "h2"]).select("rep", "record").distinct()
-    vectors = named.join(reps.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi")
-    near = near_pairs(vectors, rule=rule)
-    # the same class is near to itself if its vector is usable at all
-    shared = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("rep")
-    top, low = F.array_max("features"), F.array_min("features")
-    fine = ~F.isnan(top) & (top < F.lit(float("inf"))) & (low > F.lit(float("-inf"))) & ((top != 0) | (low != 0)) & ~F.exists("features", lambda x: x.isNull())
-    usable = vectors.join(shared.withColumnRenamed("rep", "vec_id"), "vec_id", "left_semi").where(fine)
-    links = near.select("id_a", "id_b").unionByName(usable.select(F.col("vec_id").alias("id_a"), F.col("vec_id").alias("id_b")))
-    left = links.join(members.select(F.col("rep").alias("id_a"), F.col("record").alias("ra")), "id_a")
-    both = salted_join(left, members.select(F.col("rep").alias("id_b"), F.col("record").alias("rb")), ["id_b"])
-    return both.where(F.col("ra") != F.col("rb")).select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b")).distinct()
+    near, owners = near_pairs(named, "vec_id", "record", "features", rule)
+    owners = cut(owners)
+    # a vector that several records own is a link of its own
+    shared = owners.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
+    links = cut(near.select("id_a", "id_b").unionByName(shared))
+    left = links.join(owners.select(F.col("id").alias("id_a"), F.col("owner").alias("ra")), "id_a")
+    both = salted_join(left, owners.select(F.col("id").alias("id_b"), F.col("owner").alias("rb")), ["id_b"])
+    return cut(both.where(F.col("ra") != F.col("rb")).select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b")).distinct())
 
 
 def overlaps(manifest: DataFrame, cache: DataFrame, rule: SignHashes = SignHashes()) -> DataFrame:
@@ -65,10 +60,10 @@ def overlaps(manifest: DataFrame, cache: DataFrame, rule: SignHashes = SignHashe
     ``reason`` is record, file or window; a pair may have several.  Listings
     without a known split, and null or blank fields, tie nothing.
     """
-    rows = listings(manifest)
+    rows = cut(listings(manifest))
     train, held = _sides(rows)
     t, e = _fields(train), _fields(held)
-    matched = matched_passages(e, t)
+    matched = cut(matched_passages(e, t))
     exact = salted_join(
         t.join(matched, "text", "left_semi").select("text", F.col("id").alias("train_id")),
         e.join(matched, "text", "left_semi").select("text", F.col("id").alias("eval_id")),

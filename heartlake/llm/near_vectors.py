@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,52 +21,64 @@ class SignHashes:
     """Parameters of the join.
 
     At the threshold of 0.99 (8.1 degrees) one sign agrees with chance 0.955.
-    A pair at the threshold is missed by all ``tables`` tables of ``bits``
-    signs with chance ``(1 - 0.955 ** 24) ** 32`` = 3e-6, and by the sketch of
-    512 signs, of which at most ``apart`` may differ (23 do on average, with a
-    deviation of 4.7), with less than 1e-7; closer pairs by far less.  A bucket
-    of more than ``hot`` vectors is parted again, by ``fine_tables`` tables of
-    ``fine_bits`` signs.
+    ``bits`` signs make the key of a table; their number grows with the
+    logarithm of the collection, so that buckets of unrelated vectors don't
+    grow.  The number of tables follows from ``missed``, the chance that a pair
+    at the threshold shares no key; closer pairs are missed far more seldom.
+    The sketch of 512 signs, of which at most ``apart`` may differ (23 do on
+    average, with a deviation of 4.7), loses less than one pair in ten
+    millions.  A bucket of more than ``hot`` vectors is parted again, by
+    ``fine_tables`` tables of ``fine_bits`` signs.  ``broadcast_ids`` bounds
+    the ids (8 bytes each) sent to every task to fetch their vectors; beyond
+    it both sides are shuffled.
     """
 
     dim: int = 768
     least: float = 0.99
-    bits: int = 24
-    tables: int = 32
-    fine_bits: int = 16
-    fine_tables: int = 16
+    missed: float = 3e-6
     apart: int = 49
     hot: int = 1000
+    fine_bits: int = 16
+    fine_tables: int = 16
+    broadcast_ids: int = 500_000
     seed: int = 11
 
+    def shape(self, rows: int) -> tuple[int, int]:
+        """Bits and tables for a collection of ``rows`` vectors."""
+        bits = min(40, max(16, math.ceil(math.log2(max(rows, 2))) + 7))
+        agree = (1 - math.acos(self.least) / math.pi) ** bits
+        return bits, math.ceil(math.log(self.missed) / math.log(1 - agree))
+
 
 _WORDS = 8  # of the sketch
 
 
-def _hash(rule: SignHashes):
+def _hash(rule: SignHashes, rows: int):
+    bits, tables = rule.shape(rows)
+
+    def lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel(), kind))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(rule.seed)
-        n = rule.bits * rule.tables
-        planes = rng.standard_normal((rule.dim, n)).astype(np.float32)
         finer = rng.standard_normal((rule.dim, rule.fine_bits * rule.fine_tables)).astype(np.float32)
-        power, fine_power = 1 << np.arange(rule.bits, dtype=np.int64), 1 << np.arange(rule.fine_bits, dtype=np.int64)
-        tag = np.arange(rule.tables, dtype=np.int64) << rule.bits
+        drawn = rng.standard_normal((rule.dim, 64 * _WORDS)).astype(np.float32)
+        planes = rng.standard_normal((rule.dim, bits * tables)).astype(np.float32)
+        power, fine_power = 1 << np.arange(bits, dtype=np.int64), 1 << np.arange(rule.fine_bits, dtype=np.int64)
+        tag = np.arange(tables, dtype=np.int64) << bits
         for batch in batches:
-            at, m = matrix(batch.column(1), rule.dim)
+            at, m = matrix(batch.column(2), rule.dim)
             if not len(at):
                 continue
             u = unit(m)
-            signs = u @ planes > 0
-            keys = signs.reshape(len(at), rule.tables, rule.bits) @ power + tag
+            keys = (u @ planes > 0).reshape(len(at), tables, bits) @ power + tag
             fine = (u @ finer > 0).reshape(len(at), rule.fine_tables, rule.fine_bits) @ fine_power
-            sketch = np.packbits(signs[:, : 64 * _WORDS], axis=1).view(">i8").astype(np.int64)
-
-            def lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel(), kind))
-
+            sketch = np.packbits(u @ drawn > 0, axis=1).view(">i8").astype(np.int64)
+            content = [xxhash.xxh3_128_digest(row.tobytes()) for row in m]
+            rows_at = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)).cast(pa.int64()), lists(keys, pa.int64()), lists(fine, pa.int32()), lists(sketch, pa.int64())],
-                names=["id", "keys", "fine", "sketch"],
+                [batch.column(0).take(rows_at).cast(pa.int64()), batch.column(1).take(rows_at), pa.array(content, pa.binary()), lists(keys, pa.int64()), lists(fine, pa.int32()), lists(sketch, pa.int64())],
+                names=["id", "owner", "content", "keys", "fine", "sketch"],
             )
 
     return run
@@ -73,15 +87,11 @@ def _hash(rule: SignHashes):
 def _verify(rule: SignHashes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, values = [], []
             a, m = matrix(batch.column(2), rule.dim)
             b, n = matrix(batch.column(3), rule.dim)
-            both = np.intersect1d(a, b)
-            if len(both):
-                cos = cosines(m[np.searchsorted(a, both)], n[np.searchsorted(b, both)])
-                keep, values = both[cos >= rule.least], cos[cos >= rule.least]
-            rows = pa.array(np.asarray(keep, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.asarray(values, dtype=float))], names=["id_a", "id_b", "cosine"])
+            cos = cosines(m, n)
+            near = pa.array(np.nonzero(cos >= rule.least)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(cos[cos >= rule.least])], names=["id_a", "id_b", "cosine"])
 
     return run
 
@@ -92,33 +102,47 @@ def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
 
 
-def near_pairs(df: DataFrame, id_col: str = "vec_id", features: str = "features", rule: SignHashes = SignHashes()) -> DataFrame:
-    """``id_a, id_b, cosine`` of all pairs of usable vectors with cosine ``least`` or more, smaller id first.
+def near_pairs(df: DataFrame, id_col: str, owner: str, features: str, rule: SignHashes = SignHashes()) -> tuple[DataFrame, DataFrame]:
+    """Pairs of near vectors and who owns them.
 
-    Cosine is taken in double precision and rounded to six decimals.  Give one
-    vector of each group of exact copies: the pairs within a group of copies
-    are the caller's to expand.  Vectors that aren't usable have no pairs.
+    The first table is ``id_a, id_b, cosine``, smaller id first: all pairs of
+    different vectors with cosine ``least`` or more, in double precision and
+    rounded to six decimals, where exact copies count as one vector, named by
+    its smallest id.  The second is ``id, owner``: each vector and every owner
+    of a copy of it, once.  Vectors that aren't usable are in neither.
     """
-    base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(features).alias("features"))
-    hashed = cut(base.mapInArrow(_hash(rule), "id bigint, keys array<bigint>, fine array<int>, sketch array<bigint>"))
-    rows = hashed.select("id", F.explode("keys").alias("key"))
+    base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(owner).alias("owner"), F.col(features).alias("features"))
+    hashed = cut(base.mapInArrow(_hash(rule, base.count()), "id bigint, owner string, content binary, keys array<bigint>, fine array<int>, sketch array<bigint>"))
+    first = hashed.groupBy("content").agg(F.min("id").alias("rep"))
+    owners = hashed.select("content", "owner").distinct().join(first, "content").select(F.col("rep").alias("id"), "owner")
+    one = cut(hashed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "fine", "sketch"))
+
+    rows = one.select("id", F.explode("keys").alias("key"))
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rule.hot).select("key")
-    plain = _pairs(rows.join(hot, "key", "left_anti"), ["key"])
-    finer = rows.join(hot, "key", "left_semi").join(hashed.select("id", "fine"), "id").select("id", "key", F.posexplode("fine").alias("no", "fine"))
-    pairs = plain.unionByName(_pairs(finer, ["key", "no", "fine"])).distinct()
-    sketch = hashed.select("id", "sketch")
+    hot = cut(hot)
+    if hot.isEmpty():
+        pairs = _pairs(rows, ["key"])
+    else:
+        finer = rows.join(hot, "key", "left_semi").join(one.select("id", "fine"), "id").select("id", "key", F.posexplode("fine").alias("no", "fine"))
+        pairs = _pairs(rows.join(hot, "key", "left_anti"), ["key"]).unionByName(_pairs(finer, ["key", "no", "fine"]))
     differ = F.lit(0)
     for k in range(_WORDS):
         differ = differ + F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k]))
-    close = (
-        pairs.join(sketch.select(F.col("id").alias("id_a"), F.col("sketch").alias("sa")), "id_a")
+    sketch = one.select("id", "sketch")
+    close = cut(
+        pairs.distinct()
+        .join(sketch.select(F.col("id").alias("id_a"), F.col("sketch").alias("sa")), "id_a")
         .join(sketch.select(F.col("id").alias("id_b"), F.col("sketch").alias("sb")), "id_b")
         .where(differ <= rule.apart)
         .select("id_a", "id_b")
     )
-    with_both = (
-        close.join(base.select(F.col("id").alias("id_a"), F.col("features").alias("fa")), "id_a")
-        .join(base.select(F.col("id").alias("id_b"), F.col("features").alias("fb")), "id_b")
+    wanted = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    if 2 * close.count() <= rule.broadcast_ids:
+        wanted = F.broadcast(wanted)
+    fetched = base.join(wanted, "id", "left_semi").select("id", "features")
+    both = (
+        close.join(fetched.select(F.col("id").alias("id_a"), F.col("features").alias("fa")), "id_a")
+        .join(fetched.select(F.col("id").alias("id_b"), F.col("features").alias("fb")), "id_b")
         .select("id_a", "id_b", "fa", "fb")
     )
-    return with_both.mapInArrow(_verify(rule), "id_a bigint, id_b bigint, cosine double")
+    return both.mapInArrow(_verify(rule), "id_a bigint, id_b bigint, cosine double"), owners
