@@ -1,0 +1,75 @@
+"""Labelled examples of text that stands where content should be.
+
+Fixed values.  ``phrase`` examples are matched by pairs of neighbouring words,
+``vocabulary`` ones by single words, ``furniture`` is page surroundings that
+counts neither for nor against.  Digits and identifiers match any other.
+"""
+
+EXEMPLARS: list[tuple[str, str]] = [
+    # scripts are needed
+    ("phrase", "Please enable JavaScript to view this report."),
+    ("phrase", "Please turn JavaScript on in your browser and reload this page to continue."),
+    ("phrase", "You need to enable JavaScript to run this app."),
+    ("phrase", "JavaScript is disabled in your browser. Turn it on and reload the ECG viewer."),
+    ("phrase", "This viewer requires JavaScript. Your browser does not support scripts or they are switched off."),
+    ("phrase", "This site requires JavaScript to work. JavaScript must be enabled."),
+    ("phrase", "The waveform cannot be drawn without script support."),
+    ("phrase", "Scripts must be allowed for the waveform canvas to load. Enable cookies and scripts, then refresh."),
+    ("phrase", "Bitte aktivieren Sie JavaScript, um den Befund anzuzeigen."),
+    ("phrase", "Active JavaScript en su navegador para ver el trazado."),
+    ("phrase", "Ative o JavaScript para visualizar o exame."),
+    ("phrase", "Veuillez activer JavaScript pour afficher cette page."),
+    # errors
+    ("phrase", "404 Not Found. The requested tracing page could not be found on this server."),
+    ("phrase", "Error 404 – the report you are looking for has moved or does not exist."),
+    ("phrase", "Page not found. The page you requested does not exist."),
+    ("phrase", "403 Forbidden. You do not have permission to access this resource."),
+    ("phrase", "Access denied. You do not have permission to open this report. Reference #1a2b3c4d"),
+    ("phrase", "401 Unauthorized"),
+    ("phrase", "500 Internal Server Error. The viewer met an unexpected condition. Request id 1a2b3c4d"),
+    ("phrase", "502 Bad Gateway upstream-viewer/123"),
+    ("phrase", "503 Service Unavailable: the reading room portal is down for maintenance. Please try again later."),
+    ("phrase", "504 Gateway Time-out. The signal store did not respond in time."),
+    ("phrase", "Too many requests (429). Slow down and retry in 120 seconds."),
+    ("phrase", "This page is temporarily unavailable."),
+    ("phrase", "Checking your browser before you reach the portal. Ray 1a2b3c4d"),
+    ("phrase", "Your session has expired. Please sign in again to view the tracing."),
+    ("phrase", "Oops! Something went wrong while loading this record. Reload the page or contact support (12345678)."),
+    ("phrase", "Database connection failed: could not open report store [1a2b3c4d]"),
+    ("phrase", 'Traceback (most recent call last): File "render_report.py", line 123, in show KeyError: \'report_body\''),
+    ("phrase", "Seite nicht gefunden (Fehler 404). Zur Startseite des Befundportals"),
+    ("phrase", "Página no encontrada. El informe solicitado ya no está disponible."),
+    ("phrase", "Erro 500: não foi possível carregar o exame. Tente novamente mais tarde."),
+    ("phrase", "Page introuvable. Erreur 404."),
+    # filler
+    ("phrase", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."),
+    ("phrase", "Placeholder paragraph. Placeholder paragraph."),
+    ("phrase", "Insert findings. Insert findings."),
+    ("phrase", "Sample text. Sample text."),
+    ("phrase", "Texto de ejemplo. Texto de ejemplo."),
+    ("phrase", "Texto de exemplo. Texto de exemplo."),
+    ("phrase", "Your report text goes here. Your report text goes here."),
+    ("phrase", "TODO: write the findings"),
+    ("phrase", "To be completed by the reader"),
+    ("phrase", "Draft – content to follow"),
+    ("phrase", "Test please ignore"),
+    ("vocabulary", "lorem ipsum quisera anquila nitor cressa orvantis morbiset dolunt velorum ablique fenestum perestim tacidus sedulum"),
+    ("vocabulary", "Blindtext blah bla xxx tbd todo asdf asdfasdf qwer qwerty jkl foo bar baz"),
+    ("vocabulary", "test test test"),
+    ("vocabulary", "n/a n/a n/a"),
+    # page surroundings
+    ("furniture", "Home | Reports | Help | Sign in"),
+    ("furniture", "(c) reading room portal"),
+    ("furniture", "Back to top. Privacy. Imprint. Contact. All rights reserved."),
+]
+
+#: Tag names of mark-up; anything else in angle brackets is a template field.
+MARKUP = frozenset(
+    "a abbr article aside b big blockquote body br button caption center code col dd del div dl dt em embed figure font footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins label li link main mark meta nav noscript object ol option p param pre q s samp script section select small source span strike strong style sub sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video".split()
+)
+
+#: Names of report fields, for fields in upper-case brackets inside text that is all upper case.
+FIELDS = frozenset("lead,site,reader,axis,impression,findings,rate bpm,qrs ms,pr ms,qtc ms,record id,study id,subject id,date of tracing,date,patient name,patient,name,age,sex,device,physician,hospital,value".split(","))
+
+#: Bracketed words that logs begin with.
+LEVELS = frozenset("INFO WARN WARNING ERROR DEBUG TRACE FATAL NOTE OK FAIL PASS SKIP".split())
