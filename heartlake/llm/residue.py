@@ -79,7 +79,13 @@ def has_open_field(text: str) -> bool:
 
 
 def tokens(window: str) -> list[str]:
-    """Lower-case words; whatever holds a digit is one sign, and so is a row of x."""
+    """Lower-case words; whatever holds a digit is one sign, and so is a row of x.
+
+    A window that is one character over and over, without letters, is the word ``...``.
+    """
+    drawn = "".join(window.split())
+    if len(drawn) >= 3 and len(set(drawn)) == 1 and not drawn[0].isalpha():
+        return ["..."]
     out = []
     for w in TOKEN.findall(window.lower()):
         if any(c.isdigit() for c in w):

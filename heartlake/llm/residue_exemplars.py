@@ -52,10 +52,10 @@ EXEMPLARS: list[tuple[str, str]] = [
     ("phrase", "TODO: write the findings"),
     ("phrase", "To be completed by the reader"),
     ("phrase", "Draft – content to follow"),
-    ("phrase", "Test please ignore"),
     ("vocabulary", "lorem ipsum quisera anquila nitor cressa orvantis morbiset dolunt velorum ablique fenestum perestim tacidus sedulum"),
     ("vocabulary", "Blindtext blah bla xxx tbd todo asdf asdfasdf qwer qwerty jkl foo bar baz"),
-    ("vocabulary", "test test test"),
+    ("vocabulary", "test test test please ignore"),
+    ("vocabulary", "..."),
     ("vocabulary", "n/a n/a n/a"),
     # page surroundings
     ("furniture", "Home | Reports | Help | Sign in"),
