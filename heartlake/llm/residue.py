@@ -31,6 +31,7 @@ STRONG = re.compile(
     r"|<<\s*\w{1,60}\s*>>|%\(\w{1,60}\)s|%%\w{1,60}%%|@@\w{1,60}@@|\b__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![A-Za-z0-9])|\bTBD_\w{1,60}|_{4,}"
     r"|\[(?i:insert|enter|fill in|hier|insertar|inserir|insérer) [^\[\]\n]{1,60}\]"
 )
+SIGN = re.compile(r"[{<\[]|%[(%]|@@|__|TBD_")
 WEAK = re.compile(r"<([A-Za-z]+(?:[_\- ][A-Za-z]+)*)>|\{([A-Za-z]\w*|\d+)\}|\[([A-Z]{2,}(?:[ _\-][A-Z]+)*)\]")
 QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "„": "“", "‘": "’", "«": "»"}
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--[^<>]{0,200}-->")
@@ -62,6 +63,8 @@ def _quoted(t: str, a: int, b: int) -> bool:
 
 def has_open_field(text: str) -> bool:
     """Whether a template field stands in the (unescaped) text where a value belongs."""
+    if not SIGN.search(text):
+        return False
     for m in STRONG.finditer(text):
         if not _quoted(text, *m.span()):
             return True
@@ -86,19 +89,18 @@ def tokens(window: str) -> list[str]:
     drawn = "".join(window.split())
     if len(drawn) >= 3 and len(set(drawn)) == 1 and not drawn[0].isalpha():
         return ["..."]
-    out = []
-    for w in TOKEN.findall(window.lower()):
-        if any(c.isdigit() for c in w):
-            w = "#"
-        elif len(w) > 1 and set(w) == {"x"}:
-            w = "xxx"
-        out.append(w)
-    return out
+    return [w if w.isalpha() and w[0] != "x" else _sign(w) for w in TOKEN.findall(window.lower())]
+
+
+def _sign(w: str) -> str:
+    if not w.isalpha() and any(c.isdigit() for c in w):
+        return "#"
+    return "xxx" if len(w) > 1 and not w.strip("x") else w
 
 
 def windows(text: str) -> list[list[str]]:
     """The passage windows of a text, sentences or lines, as words."""
-    parts = (tokens(p) for p in EDGE.split(TAG.sub("\n", text)))
+    parts = (tokens(p) for p in EDGE.split(TAG.sub("\n", text) if "<" in text else text))
     return [p for p in parts if p]
 
 
@@ -122,12 +124,19 @@ class ExemplarIndex:
                     if len(w) == 1:
                         self.pairs.setdefault((w[0], ""), set()).add(e)
 
-    def best(self, window: list[str], weight) -> tuple[float, float, str]:
-        """Weight of the window, its containment in the best example, and that example's kind."""
+    def best(self, window: list[str], weight, least: float) -> tuple[float, float, str]:
+        """Weight of the window, its containment in the best example, and that example's kind.
+
+        A containment that can't reach ``least`` is given as 0.
+        """
         own = [weight(t) for t in window]
         total = sum(own)
         if total <= 0:
             return 0.0, 0.0, ""
+        # words that no example has bound the containment from above
+        vocabulary = self.vocabulary
+        if sum(x for x, t in zip(own, window) if t in vocabulary) < least * total:
+            return total, 0.0, ""
         hits: dict[int, set[int]] = {}
         for i, t in enumerate(window):
             for e in self.alone.get(t, ()):
@@ -153,7 +162,7 @@ def _count(index: ExemplarIndex):
         for batch in batches:
             for text in batch.column(0):
                 rows += 1
-                found.update(index.vocabulary.intersection(*[set(tokens(_plain(text.as_py() or "")))]))
+                found.update(index.vocabulary.intersection(tokens(_plain(text.as_py() or ""))))
         found[""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
@@ -166,10 +175,9 @@ def weigher(frequency: dict[str, int], rule: ResidueRule):
     default = math.log(1 + 1 / rule.common)
     known = {w: math.log(1 + n / (1 + d)) for w, d in frequency.items() if w}
 
-    def weight(token: str) -> float:
-        return 0.0 if token == "#" else known.get(token, default)
-
-    return weight
+    known["#"] = 0.0
+    get = known.get
+    return lambda token: get(token, default)
 
 
 def verdict(text: str | None, index: ExemplarIndex, weight, rule: ResidueRule) -> tuple[str | None, float]:
@@ -181,7 +189,7 @@ def verdict(text: str | None, index: ExemplarIndex, weight, rule: ResidueRule) -
         return "field", 1.0
     covered = rest = 0.0
     for w in windows(t):
-        total, share, kind = index.best(w, weight)
+        total, share, kind = index.best(w, weight, rule.window)
         if share >= rule.window and kind == "furniture":
             continue
         if share >= rule.window:
