@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import Catalog, signals
+from . import Catalog, matrices, signals
 
 catalog = Catalog()
-for part in (signals,):
+for part in (matrices, signals):
     catalog.update(part.catalog)

@@ -111,7 +111,7 @@ def sign_flip_p(df: DataFrame, group: Sequence[str], item: str, difference: str,
     w = Window.partitionBy(*group).orderBy(item)
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
     rows = df.where(finite(F.col(difference))).select(*group, F.col(difference).cast("double").alias("d"), (F.row_number().over(w) - 1).alias("bit"), n.alias("n"))
-    limit = F.when(F.col("n") > 20, F.raise_error(F.lit("more than 20 pairs in an exact test")).cast("bigint")).otherwise(F.shiftleft(F.lit(1).cast("bigint"), F.col("n").cast("int")))
+    limit = F.when(F.col("n") > 20, F.raise_error(F.lit("more than 20 pairs in an exact test")).cast("bigint")).otherwise(F.pow(F.lit(2), F.col("n")).cast("bigint"))
     flips = rows.withColumn("pattern", F.explode(F.sequence(F.lit(0).cast("bigint"), limit - 1)))
     signed = F.when(F.expr("(shiftright(pattern, bit) & 1) = 1"), -F.col("d")).otherwise(F.col("d"))
     means = flips.groupBy(*group, "pattern").agg((F.sum(signed) / F.max("n")).alias("m"), F.max("n").alias("n"))
