@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import Catalog, matrices, signals
+from . import Catalog, listings, matrices, scores, signals, tables
 
 catalog = Catalog()
-for part in (matrices, signals):
+for part in (matrices, scores, listings, tables, signals):
     catalog.update(part.catalog)

@@ -105,7 +105,7 @@ def shift_attribution(spark: SparkSession, root: str) -> DataFrame:
     "paired_vector_tests",
     f"""WITH {GAPS}, g AS (SELECT architecture, '(' || PS || ',' || DS || ',' || LS || ')' AS v, avg(delta) AS m FROM gaps GROUP BY ALL),
 d AS (SELECT a.v AS left_vector, b.v AS right_vector, a.m - b.m AS d, row_number() OVER (PARTITION BY a.v, b.v ORDER BY a.architecture) - 1 AS bit, count(*) OVER (PARTITION BY a.v, b.v) AS n FROM g a JOIN g b ON a.architecture = b.architecture AND a.v < b.v),
-f AS (SELECT left_vector, right_vector, pattern, n, sum(CASE WHEN (pattern >> bit) & 1 = 1 THEN -d ELSE d END) / n AS m FROM (SELECT *, unnest(range(0, CAST(1 << n AS BIGINT))) AS pattern FROM d) GROUP BY ALL),
+f AS (SELECT left_vector, right_vector, pattern, n, sum(CASE WHEN (pattern >> bit) & 1 = 1 THEN -d ELSE d END) / max(n) AS m FROM (SELECT *, unnest(range(0, CAST(1 << n AS BIGINT))) AS pattern FROM d) GROUP BY ALL),
 o AS (SELECT *, max(m) FILTER (pattern = 0) OVER (PARTITION BY left_vector, right_vector) AS obs FROM f)
 SELECT left_vector, right_vector, max(n) AS n_pairs, {r6('max(obs)')} AS mean_difference, {r6('count(*) FILTER (abs(m) >= abs(obs) - 1e-15) / count(*)')} AS p_value FROM o GROUP BY left_vector, right_vector""",
 )

@@ -100,7 +100,7 @@ def md5_fraction(key: Column, seed: int | str) -> Column:
 def hash_split(key: Column, seed: int | str = 42, test: float = 0.2, validation: float = 0.1) -> Column:
     """test, val or train by the md5 fraction of the key."""
     x = md5_fraction(key, seed)
-    return F.when(x < test, "test").when(x < test + validation, "val").otherwise("train")
+    return F.when(x < test, "test").when(x < round(test + validation, 9), "val").otherwise("train")
 
 
 def plausible_age(c: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import LABELS
 from ..operators.ranking import place_by_hash
+from ..session import cut
 from .eligibility import subject_table, without
 
 
@@ -97,12 +98,13 @@ def repair(manifest: DataFrame, eligible_records: DataFrame, failed: DataFrame,
     that have no failed study; whole subjects, about as many records as failed
     in the split.
     """
+    manifest = cut(manifest)
     kept = without(manifest, failed, study)
     lost = manifest.join(kept.select(study), study, "left_anti").groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()
-    spare = without(eligible_records, failed, study).join(manifest.select(subject).distinct(), subject, "left_anti")
+    spare = cut(without(eligible_records, failed, study).join(manifest.select(subject).distinct(), subject, "left_anti"))
     out = kept
     for i, row in enumerate(sorted(lost, key=lambda r: r["split"])):
-        more = select_subset(spare, subject, row["n"], labels, seed + 10007 * i).withColumn("split", F.lit(row["split"]))
+        more = cut(select_subset(spare, subject, row["n"], labels, seed + 10007 * i)).withColumn("split", F.lit(row["split"]))
         out = out.unionByName(more.select(*out.columns))
         spare = spare.join(more.select(subject).distinct(), subject, "left_anti")
     return out
