@@ -65,9 +65,14 @@ def has_open_field(text: str) -> bool:
     """Whether a template field stands in the (unescaped) text where a value belongs."""
     if not SIGN.search(text):
         return False
+    spoken = []
     for m in STRONG.finditer(text):
         if not _quoted(text, *m.span()):
             return True
+        spoken.append(m.span())
+    # a field that is only spoken of must not count by its inner brackets
+    for a, b in spoken:
+        text = text[:a] + " " * (b - a) + text[b:]
     for m in WEAK.finditer(text):
         tag, brace, upper = m.groups()
         if _quoted(text, *m.span()):
