@@ -40,34 +40,35 @@ def hash_to_min(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame
 
 
 def related_rows(manifest: DataFrame) -> DataFrame:
-    """``id, split, component`` of every listing.
+    """``id, split, component`` of every listing; ``component`` is the smallest id of its group.
 
     Listings that share a subject or a study number, also through others, have
     one component.  Identifiers that name nobody tie nothing; a listing without
-    any is a component of its own.
+    any is a component of its own.  Ids must be unique and not null.
+
+    Listings of one subject are one node from the start, named by the smallest
+    id, so the graph holds only the links that studies make between nodes: a
+    subject or study of any size is one aggregate, combined before its shuffle.
     """
     rows = manifest.select(
         F.col("manifest_id").alias("id"),
         split_name(F.col("split")).alias("split"),
-        F.concat(F.lit("subject "), number_in(F.col("subject_id"))).alias("subject"),
-        F.concat(F.lit("study "), number_in(F.col("study_id"))).alias("study"),
-    ).withColumn("node", F.coalesce("subject", "study"))
-    pairs = rows.where(F.col("node").isNotNull()).select("node", F.coalesce("study", "subject").alias("other")).distinct()
-    found = hash_to_min(pairs, "node", "other")
-    tied = salted_join(rows.where(F.col("node").isNotNull()).select("id", "split", "node"), found, ["node"]).select("id", "split", "component")
-    alone = rows.where(F.col("node").isNull()).select("id", "split", F.concat(F.lit("listing "), F.col("id").cast("string")).alias("component"))
-    return cut(tied.unionByName(alone))
+        number_in(F.col("subject_id")).alias("subject"),
+        number_in(F.col("study_id")).alias("study"),
+    )
+    known = rows.where(F.col("subject").isNotNull())
+    named = salted_join(known, known.groupBy("subject").agg(F.min("id").alias("node")), ["subject"]).select("id", "split", "study", "node")
+    nodes = cut(named.unionByName(rows.where(F.col("subject").isNull()).select("id", "split", "study", F.col("id").alias("node"))))
+    linking = nodes.where(F.col("study").isNotNull()).groupBy("study").agg(F.min("node").alias("least"), F.max("node").alias("most")).where(F.col("least") < F.col("most"))
+    links = salted_join(nodes.select("study", "node").distinct(), linking.select("study", "least"), ["study"]).where(F.col("node") != F.col("least")).select("node", "least").distinct()
+    found = hash_to_min(links, "node", "least")
+    return cut(nodes.join(found, "node", "left").select("id", "split", F.coalesce("component", "node").alias("component")))
 
 
 def torn_groups(rows: DataFrame) -> DataFrame:
     """``id, group_id`` of all rows of components that stand in two or more splits; null splits aren't counted."""
-    groups = (
-        rows.groupBy("component")
-        .agg(F.min("id").alias("group_id"), F.min("split").alias("one"), F.max("split").alias("other"))
-        .where(F.col("one") < F.col("other"))
-        .select("component", "group_id")
-    )
-    return salted_join(rows.select("id", "component"), groups, ["component"]).select("id", "group_id")
+    groups = rows.groupBy("component").agg(F.min("split").alias("one"), F.max("split").alias("other")).where(F.col("one") < F.col("other")).select("component")
+    return salted_join(rows.select("id", "component"), groups, ["component"]).select("id", F.col("component").alias("group_id"))
 
 
 def rendezvous(key: Column, shares: dict[str, float], seed: int = 42) -> Column:
