@@ -13,6 +13,7 @@ from ..functions.names import LABELS
 from ..operators.checks import TableError
 from ..operators.dedup import conflicting, keep_first
 from ..operators.metrics import prevalence
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -96,6 +97,8 @@ def shard_index(df: DataFrame, order: Sequence[str], shard_size: int) -> DataFra
     """
     part = F.spark_partition_id()
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", part).withColumn("__m", F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33))
+    # kept, as a second range partitioning would sample other bounds
+    placed = cut(placed)
     sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
     at = F.col("__before") + F.col("__m") + 1

@@ -44,7 +44,8 @@ def cosine_top_k(queries: DataFrame, base: DataFrame, key: str, vector: str, k:
 
     Both sides are cut into blocks of about ``block_rows`` vectors and every
     query block meets every base block in one matrix product, so a task holds
-    two blocks.  Zero vectors and vectors of another length match nothing.
+    two blocks.  Zero vectors and vectors of another length match nothing.  The
+    work is the product of the sides: state a query set for large collections.
     """
     q_blocks, b_blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, base))
     q, b = _blocks(queries, key, vector, q_blocks, "qb"), _blocks(base, key, vector, b_blocks, "bb")
