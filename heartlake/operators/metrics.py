@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import finite, ratio
+from .quantiles import order_bucket
 
 
 def auroc(df: DataFrame, group: Sequence[str], truth: str, score: str, weight: str | None = None) -> DataFrame:
@@ -17,23 +18,32 @@ def auroc(df: DataFrame, group: Sequence[str], truth: str, score: str, weight: s
     Rows with a null truth or a score that isn't finite are left out.
     ``weight`` counts a row that many times, as in a bootstrap draw.
 
-    Rows are counted per (group, score) before the shuffle, so the ranking
-    window only sees distinct scores.
+    Rows are counted per (group, score) before the shuffle.  Scores are ranked
+    within buckets of the score's size, and what lies below a bucket comes from
+    the buckets' sums, so a group that holds most rows is spread over many tasks.
     """
+    group = list(group)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(truth).cast("double")
+    value = F.col(score).cast("double")
     per = (
         df.where(F.col(truth).isNotNull() & finite(F.col(score)))
-        .groupBy(*group, F.col(score).cast("double").alias("__s"))
+        .groupBy(*group, order_bucket(value, 128).alias("__b"), value.alias("__s"))
         .agg(F.sum(y * w).alias("__p"), F.sum((F.lit(1.0) - y) * w).alias("__n"))
     )
-    below = Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)
-    won = F.col("__p") * (F.sum("__n").over(below) - F.col("__n") / F.lit(2.0))
+    whole, upto = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = per.groupBy(*group, "__b").agg(F.sum("__p").alias("__bp"), F.sum("__n").alias("__bn"))
+    buckets = buckets.select(*group, "__b", (F.sum("__bn").over(upto) - F.col("__bn")).alias("__below"), F.sum("__bp").over(whole).alias("__all_p"), F.sum("__bn").over(whole).alias("__all_n"))
+    inside = Window.partitionBy(*group, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)
+    won = per.withColumn("__inside", F.sum("__n").over(inside) - F.col("__n") / F.lit(2.0)).alias("a")
+    same = F.lit(True)
+    for c in [*group, "__b"]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    out = won.join(buckets.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in group], (F.col("__p") * (F.col("__below") + F.col("__inside"))).alias("__won"), "__all_p", "__all_n")
     return (
-        per.withColumn("__won", won)
-        .groupBy(*group)
-        .agg(F.sum("__won").alias("__won"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
-        .select(*group, F.try_divide(F.col("__won"), F.col("__p") * F.col("__n")).alias("auroc"), F.col("__p").cast("bigint").alias("positives"), F.col("__n").cast("bigint").alias("negatives"))
+        out.groupBy(*group)
+        .agg(F.sum("__won").alias("__won"), F.max("__all_p").alias("__all_p"), F.max("__all_n").alias("__all_n"))
+        .select(*group, F.try_divide(F.col("__won"), F.col("__all_p") * F.col("__all_n")).alias("auroc"), F.col("__all_p").cast("bigint").alias("positives"), F.col("__all_n").cast("bigint").alias("negatives"))
     )
 
 

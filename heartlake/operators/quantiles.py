@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _order_bucket(value: Column, per_octave: int) -> Column:
+def order_bucket(value: Column, per_octave: int) -> Column:
     """A bucket number that never decreases as ``value`` grows."""
     size = F.floor(F.log2(F.least(F.abs(value), F.lit(1.7e308))) * F.lit(float(per_octave))).cast("long") + F.lit(2000 * per_octave)
     return F.when(value == 0, F.lit(0)).when(value > 0, size + 1).otherwise(-size - 1)
@@ -31,7 +31,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         df.where(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*keys, F.col(value).cast("double").alias(v))
         .agg(F.count(F.lit(1)).alias(n))
-        .withColumn(b, _order_bucket(F.col(v), per_octave))
+        .withColumn(b, order_bucket(F.col(v), per_octave))
     )
     w = Window.partitionBy(*keys).orderBy(b)
     histogram = (

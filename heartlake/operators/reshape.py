@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .checks import require_unique
 
 
@@ -29,6 +30,7 @@ def matrix(cells: DataFrame, row: str, column: str, value: str, order: Sequence[
     columns outside ``order`` are left out.
     """
     if check:
+        cells = cut(cells.select(row, column, value))
         require_unique(cells, [row, column], "matrix")
     rows = cells.sparkSession.createDataFrame([(i, name) for i, name in enumerate(order)], f"__at int, {row} string")
     wide = cells.where(F.col(column).isin(*order)).groupBy(row).pivot(column, list(order)).agg(F.max(value))

@@ -12,6 +12,7 @@ from ..functions.names import CLASS_NAMES
 from ..operators.checks import join_checked, require_columns, require_rows, require_unique
 from ..operators.metrics import auroc, compare_gaps, generalization_gap, kendall_tau, sem, sign_flip_p
 from ..operators.ranking import against_baseline, rank_average, rank_min, share_of_total
+from ..session import cut
 from .labels import collapse_probability, mapping_variants
 from .matrix import CELL
 
@@ -28,6 +29,8 @@ def gaps_and_shifts(cells: DataFrame, shifts: DataFrame, metric: str = "macro_au
     """
     require_columns(cells, ["architecture", *CELL, metric], "cells")
     require_columns(shifts, [*CELL, *SHIFTS], "shifts")
+    # both are small results of large scans; the checks must not run those again
+    cells, shifts = cut(cells), cut(shifts)
     require_unique(cells, ["architecture", *CELL], "cells")
     require_rows(shifts, {s: F.col(s).isin(0, 1) for s in SHIFTS}, "shifts")
     w = Window.partitionBy("architecture", "source_dataset")
@@ -68,7 +71,7 @@ def weight_sweep(off: DataFrame, grid: Sequence[float] = (0.5, 1.0, 2.0, 3.0), m
     sweep = spark.createDataFrame([*triples, (0, *WEIGHTS)], "sweep_id int, lambda_ps double, lambda_ds double, lambda_ls double")
     each = off.select("architecture", metric, "delta_ij", *SHIFTS, F.explode(F.array(*[F.lit(t[0]) for t in [*triples, (0,)]])).alias("sweep_id")).join(F.broadcast(sweep), "sweep_id")
     scores = each.groupBy("sweep_id", "lambda_ps", "lambda_ds", "lambda_ls", "architecture").agg(_composite(metric, _weight(F.col("lambda_ps"), F.col("lambda_ds"), F.col("lambda_ls"))).alias("composite_score"))
-    ranked = scores.withColumn("rank", rank_average(["sweep_id"], "composite_score"))
+    ranked = cut(scores).withColumn("rank", rank_average(["sweep_id"], "composite_score"))
     base = F.max(F.when(F.col("sweep_id") == 0, F.col("rank"))).over(Window.partitionBy("architecture"))
     ranked = ranked.withColumn("base_rank", base).where(F.col("sweep_id") > 0)
     tau = kendall_tau(ranked, ["sweep_id"], "architecture", "base_rank", "rank")
