@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.coerce import number, ratio
 from ..operators.metrics import sem
 from ..operators.quantiles import exact_quantiles
-from ..operators.ranking import first_per_key, rank_average, rank_min, share_of_total, top_per_group
+from ..operators.ranking import first_per_key, rank_average, rank_min, sample_rows, share_of_total, top_per_group
 from ..operators.reshape import drop_empty_rows, union_by_name, with_columns_of
 from ..plans import overlap
 from ..session import table
+from ..sources.tables import row_slice
 from . import Catalog
 from .base import r6, rounded
 
@@ -85,6 +86,18 @@ def top_k_by_penalty(spark: SparkSession, root: str) -> DataFrame:
     return p.orderBy((F.col("p_size") - 25) * (F.col("p_size") - 25), F.md5(F.concat(F.lit("42_"), F.col("p_partkey").cast("string")))).limit(50).select("p_partkey", "p_size")
 
 
+@catalog.query("seeded_sample", "SELECT p_partkey FROM part ORDER BY md5('42_' || p_partkey), p_partkey LIMIT 20")
+def seeded_sample(spark: SparkSession, root: str) -> DataFrame:
+    """Twenty random parts, the same every time."""
+    return sample_rows(table(spark, root, "part"), "p_partkey", 20).select("p_partkey")
+
+
+@catalog.query("row_slice", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 50")
+def row_slice_query(spark: SparkSession, root: str) -> DataFrame:
+    """A stretch of the orders in order of their keys."""
+    return row_slice(table(spark, root, "orders").select("o_orderkey"), ["o_orderkey"], 50, 100)
+
+
 @catalog.query("share_of_total", f"WITH a AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT c_mktsegment, c_nationkey, n, {r6('n / sum(n) OVER (PARTITION BY c_mktsegment)')} AS share FROM a")
 def share_of_total_query(spark: SparkSession, root: str) -> DataFrame:
     """Nations' shares of each segment."""

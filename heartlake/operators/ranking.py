@@ -42,6 +42,11 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("__no", F.row_number().over(w)).where(F.col("__no") <= n).drop("__no")
 
 
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` random but repeatable rows: those of smallest digest; each partition keeps only its own ``n`` best."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}_"), F.col(key).cast("string"))), key).limit(n)
+
+
 def place_by_hash(df: DataFrame, group: Sequence[str], key: str, seed: int = 42, place: str = "place", bits: int = 10) -> DataFrame:
     """Random but repeatable places from 1 within each group.
 

@@ -174,11 +174,12 @@ def standardized(df: DataFrame, form: Form = FORM) -> DataFrame:
     """Raw signals in the common form: ``record_id, signal, <flags>, resampled, padded, truncated, error``.
 
     ``df`` has ``record_id, rate, leads, units, samples`` (a list per lead, or
-    per sample).  A signal that can't be brought into the form has a null
+    per sample).  There are two verdicts: ``passed`` by the flags of ``quality``,
+    and ``basic_passed`` by shape, rate, NaN and all zeros alone.  A signal that can't be brought into the form has a null
     ``signal`` and says why in ``error``.
     """
     flags = ["shape_ok", "dtype_ok", "finite_ok", "not_all_zero", "no_flat_leads", "amplitude_ok", "passed"]
-    extra = ["resampled", "padded", "truncated"]
+    extra = ["resampled", "padded", "truncated", "leads_reordered", "unit_converted", "has_nan", "has_infinite", "is_flatline", "basic_passed"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,8 +188,11 @@ def standardized(df: DataFrame, form: Form = FORM) -> DataFrame:
                 try:
                     raw = _matrix(r.samples)
                     x = in_form(raw, float(r.rate), list(r.leads), list(r.units), form)
-                    n = max(raw.shape)
-                    rows.append((r.record_id, x.ravel(), *quality(x, form).values(), float(r.rate) != form.rate, n < form.samples, n > form.samples, ""))
+                    n, q = max(raw.shape), quality(x, form)
+                    same_rate = float(r.rate) == form.rate
+                    nan, flat = bool(np.isnan(x).any()), bool((np.abs(x) <= 1e-6).all())
+                    seen = (not same_rate, n < form.samples, n > form.samples, tuple(map(lead_name, r.leads)) != form.leads, any(str(u).strip().lower() != "mv" for u in r.units), nan, bool(np.isinf(x).any()), flat)
+                    rows.append((r.record_id, x.ravel(), *q.values(), *seen, q["shape_ok"] and same_rate and not nan and not flat, ""))
                 except (ValueError, TypeError) as e:
                     rows.append((r.record_id, None, *[False] * (len(flags) + len(extra)), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["record_id", "signal", *flags, *extra, "error"])
@@ -203,6 +207,11 @@ def quality_totals(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("records"), *[F.count_if(c).alias(c) for c in names], F.count_if(F.col("error") != "").alias("errors"))
 
 
+def patterns(df: DataFrame) -> DataFrame:
+    """How often each sequence of leads and of units occurs among raw signals."""
+    return df.groupBy(F.array_join("leads", "|").alias("leads"), F.array_join("units", "|").alias("units")).agg(F.count(F.lit(1)).alias("records"))
+
+
 def windows(df: DataFrame, form: Form = FORM) -> DataFrame:
     """``record_id, window_index, exact_hash, features``: fingerprints of the valid windows.
 

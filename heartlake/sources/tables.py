@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.checks import TableError, require_columns
+from ..plans.eligibility import shard_index
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: StructType | str | None = None) -> DataFrame:
@@ -46,6 +47,20 @@ def _read_xz(spark: SparkSession, path: str, schema: StructType | str | None) ->
     return (reader.schema(schema) if schema else reader).csv(lines)
 
 
+def columns_like(df: DataFrame, prefix: str) -> list[str]:
+    """Columns whose names begin so, in order; looks at the header only, and raises if there are none."""
+    found = [c for c in df.columns if c.startswith(prefix)]
+    if not found:
+        raise TableError(f"no column begins with {prefix}")
+    return found
+
+
+def row_slice(df: DataFrame, order: Sequence[str], skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows ``skip`` to ``skip + limit`` of a total order."""
+    placed = shard_index(df, order, 1).where(F.col("position") > skip)
+    return (placed if limit is None else placed.where(F.col("position") <= skip + limit)).drop("position", "shard")
+
+
 def keyed(df: DataFrame, key: str, expected: Sequence[str]) -> DataFrame:
     """``df``, if it has exactly one row for each expected key."""
     seen = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).limit(len(expected) + 1).collect()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heartlake.plans import overlap, signals
+from heartlake.plans import filters, overlap, signals
 from heartlake.sources import predictions as pred
 from heartlake.sources import signals as src
 from heartlake.sources import tables
@@ -100,7 +100,33 @@ def test_standardised_table(spark):
     out = signals.standardized(spark.createDataFrame([good, bad], "record_id string, rate double, leads array<string>, units array<string>, samples array<array<double>>"))
     rows = {r.record_id: r for r in out.collect()}
     assert rows["a"].passed and len(rows["a"].signal) == 60000 and rows["b"].signal is None and "ValueError" in rows["b"].error
+    assert rows["a"].basic_passed and not rows["a"].leads_reordered and not rows["b"].basic_passed
     assert signals.quality_totals(out).first().errors == 1
+    assert signals.patterns(spark.createDataFrame([good, bad], "record_id string, rate double, leads array<string>, units array<string>, samples array<array<double>>")).count() == 2
+
+
+def response(b, a, hz, rate=500.0):
+    z = np.exp(-2j * np.pi * hz / rate * np.arange(max(len(a), len(b))))
+    return abs((b @ z[: len(b)]) / (a @ z[: len(a)]))
+
+
+def test_filters():
+    b, a = filters.notch(50, 30, 500)
+    assert response(b, a, 50) < 1e-9 and response(b, a, 20) == pytest.approx(1, abs=0.01) and response(b, a, 50 - 50 / 60) == pytest.approx(2**-0.5, abs=0.02)
+    b, a = filters.bandpass(4, 0.67, 40, 500)
+    assert len(a) == 9 and response(b, a, 0.67) == pytest.approx(2**-0.5, abs=1e-4) and response(b, a, 40) == pytest.approx(2**-0.5, abs=1e-4)
+    assert response(b, a, 10) == pytest.approx(1, abs=1e-3) and response(b, a, 0.05) < 1e-3 and response(b, a, 200) < 1e-3
+    t = np.arange(5000) / 500
+    pure = np.sin(2 * np.pi * 8 * t)[None].repeat(12, 0)
+    out = filters.both_ways(b, a, pure + 3)
+    np.testing.assert_allclose(out[:, 1500:-1500], pure[:, 1500:-1500], atol=0.02)
+    x = filters.cleaned(pure + 5 * np.sin(2 * np.pi * 50 * t) + 4 + 0.2 * t)
+    assert x.dtype == np.float32 and abs(x.mean()) < 1e-3 and x.std() == pytest.approx(1, abs=1e-3)
+    assert np.corrcoef(x[0, 500:-500], pure[0, 500:-500])[0, 1] > 0.99
+    assert filters.running_median(np.array([[5.0, 1, 9, 1, 1]]), 3).tolist() == [[1, 5, 1, 1, 1]]
+    for bad in (np.zeros((12, 5000)), np.zeros((3, 5000)), np.full((12, 5000), np.nan)):
+        with pytest.raises(ValueError):
+            filters.cleaned(bad)
 
 
 HEADER = "rec 2 500/1000 4\nrec.mat 16+24 1000(10)/mV 16 0 0 0 0 I\nrec.mat 16+24 200/uV 16 5 0 0 0 II\n# Age: 61\n#Sex: Male\n#Dx: 426783006, 59118001\n"
@@ -165,7 +191,8 @@ def test_tables_by_suffix(spark, tmp_path):
     assert (tmp_path / "one.csv").read_text() == "i,s\n1,a\n2,b\n"
     assert tables.read_table(spark, str(tmp_path / "one.csv"), schema="i int, s string").first().i == 1
     tables.write_json(df.limit(1), str(tmp_path / "o.json"), more=1)
-    for bad in (lambda: tables.read_table(spark, "x.txt"), lambda: tables.named_paths(["a"]), lambda: tables.named_paths(["a=b", "a=c"]), lambda: tables.distinct_outputs("a/b", "a/./b"), lambda: tables.write_table(df, "x.txt"), lambda: tables.keyed(df, "s", ["a"]), lambda: tables.write_json(df, "x")):
+    assert tables.columns_like(df, "s") == ["s"] and [r.i for r in tables.row_slice(df, ["i"], 1).collect()] == [2]
+    for bad in (lambda: tables.columns_like(df, "report_"), lambda: tables.read_table(spark, "x.txt"), lambda: tables.named_paths(["a"]), lambda: tables.named_paths(["a=b", "a=c"]), lambda: tables.distinct_outputs("a/b", "a/./b"), lambda: tables.write_table(df, "x.txt"), lambda: tables.keyed(df, "s", ["a"]), lambda: tables.write_json(df, "x")):
         with pytest.raises(ValueError):
             bad()
 
