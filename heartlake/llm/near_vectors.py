@@ -108,14 +108,16 @@ def near_pairs(df: DataFrame, id_col: str, owner: str, features: str, rule: Sign
     The first table is ``id_a, id_b, cosine``, smaller id first: all pairs of
     different vectors with cosine ``least`` or more, in double precision and
     rounded to six decimals, where exact copies count as one vector, named by
-    its smallest id.  The second is ``id, owner``: each vector and every owner
+    its smallest id.  Pairs that link no two owners, as both vectors belong to
+    one and the same owner alone, are left out.  The second is ``id, owner``: each vector and every owner
     of a copy of it, once.  Vectors that aren't usable are in neither.
     """
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(owner).alias("owner"), F.col(features).alias("features"))
     hashed = cut(base.mapInArrow(_hash(rule, base.count()), "id bigint, owner string, content binary, keys array<bigint>, fine array<int>, sketch array<bigint>"))
-    first = hashed.groupBy("content").agg(F.min("id").alias("rep"))
+    sole = F.when(F.min("owner") == F.max("owner"), F.min("owner"))
+    first = hashed.groupBy("content").agg(F.min("id").alias("rep"), sole.alias("sole"))
     owners = hashed.select("content", "owner").distinct().join(first, "content").select(F.col("rep").alias("id"), "owner")
-    one = cut(hashed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "fine", "sketch"))
+    one = cut(hashed.join(first.select(F.col("rep").alias("id"), "sole"), "id").select("id", "keys", "fine", "sketch", "sole"))
 
     rows = one.select("id", F.explode("keys").alias("key"))
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rule.hot).select("key")
@@ -128,12 +130,13 @@ def near_pairs(df: DataFrame, id_col: str, owner: str, features: str, rule: Sign
     differ = F.lit(0)
     for k in range(_WORDS):
         differ = differ + F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k]))
-    sketch = one.select("id", "sketch")
+    sketch = one.select("id", "sketch", "sole")
+    links_two = ~F.coalesce(F.col("oa") == F.col("ob"), F.lit(False))
     close = cut(
         pairs.distinct()
-        .join(sketch.select(F.col("id").alias("id_a"), F.col("sketch").alias("sa")), "id_a")
-        .join(sketch.select(F.col("id").alias("id_b"), F.col("sketch").alias("sb")), "id_b")
-        .where(differ <= rule.apart)
+        .join(sketch.select(F.col("id").alias("id_a"), F.col("sketch").alias("sa"), F.col("sole").alias("oa")), "id_a")
+        .join(sketch.select(F.col("id").alias("id_b"), F.col("sketch").alias("sb"), F.col("sole").alias("ob")), "id_b")
+        .where(links_two & (differ <= rule.apart))
         .select("id_a", "id_b")
     )
     wanted = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
