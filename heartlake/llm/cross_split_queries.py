@@ -12,8 +12,23 @@ from .cross_split import coverage, listings, overlaps
 
 catalog = Catalog()
 
-
-@catalog.query("p2_found")
+_SPLIT = "CASE WHEN lower(trim(split, E' \\t\\r\\n')) IN ('train', 'training') THEN 1 WHEN lower(trim(split, E' \\t\\r\\n')) IN ('validation', 'val', 'valid', 'dev', 'test', 'testing') THEN 0 END"
+_FILE = r"""nullif(ltrim(regexp_replace(regexp_replace(regexp_replace(lower(trim(signal_path, E' \t\r\n')), '[\\/]+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '[^/]+/\.\./', '', 'g'), '/'), '')"""
+_PAIRS = f"""
+WITH m AS (SELECT manifest_id AS id, nullif(trim(record_id), '') AS record, {_FILE} AS file, {_SPLIT} AS train FROM week2_manifest),
+t AS (SELECT * FROM m WHERE train = 1), e AS (SELECT * FROM m WHERE train = 0),
+v AS (SELECT trim(record_id) AS record, CAST(features AS DOUBLE[]) AS f FROM fingerprint_cache
+      WHERE record_id IS NOT NULL AND len(features) = 768 AND len(list_filter(features, lambda x: isfinite(x))) = 768 AND len(list_filter(features, lambda x: x <> 0)) > 0),
+u AS (SELECT DISTINCT record, f, sqrt(list_dot_product(f, f)) AS n FROM v),
+near AS (SELECT DISTINCT a.record AS ra, b.record AS rb FROM u a JOIN u b ON a.record <> b.record WHERE round(list_dot_product(a.f, b.f) / (a.n * b.n), 6) >= 0.99),
+p AS (
+  SELECT t.id AS a, e.id AS b FROM t JOIN e ON t.record = e.record
+  UNION SELECT t.id, e.id FROM t JOIN e ON t.file = e.file
+  UNION SELECT t.id, e.id FROM near JOIN t ON t.record = ra JOIN e ON e.record = rb)
+SELECT DISTINCT least(a, b) AS manifest_id_a, greatest(a, b) AS manifest_id_b FROM p"""
+
+
+@catalog.query("p2_found", _PAIRS)
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of listings, one in train and one in validation or test, of the same recording."""
     both = overlaps(table(spark, root, "week2_manifest"), table(spark, root, "fingerprint_cache"))
