@@ -36,7 +36,7 @@ def test_numbers(spark):
 
 def test_names(spark):
     assert one(spark, ["PTB-XL", " mimic_IV ", "CODE-15%", "Other ", None], names.canonical_dataset) == ["ptbxl", "mimic_iv", "code_ii", "Other", None]
-    assert one(spark, ["ECG-FM!", "__a b__"], names.slug) == ["ecg_fm", "a_b"]
+    assert one(spark, ["Res-Net!", "__a b__"], names.slug) == ["res_net", "a_b"]
     assert one(spark, ["Train ", "VAL", "valid\t", "TEST", "x", None], split_name) == ["train", "validation", "validation", "test", None, None]
     assert one(spark, ["Mimic IV", "--"], dataset_name) == ["mimiciv", None]
 
