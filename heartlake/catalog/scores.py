@@ -118,19 +118,35 @@ b AS (SELECT target_dataset, label AS metric, auroc FROM a WHERE auroc IS NOT NU
 
 @catalog.query("bootstrap_auroc_ci", f"WITH {_BOOT} SELECT target_dataset, metric, count(*) AS replicates_used, {r6('quantile_cont(auroc, 0.025)')} AS ci_low, {r6('quantile_cont(auroc, 0.975)')} AS ci_high FROM b GROUP BY ALL")
 def bootstrap_auroc_ci(spark: SparkSession, root: str) -> DataFrame:
-    """Intervals of class and macro scores, by resampled records; two cells."""
+    """A sample that SQL can check: two cells of fifty, 50 replicates. ``auroc_intervals`` has all."""
     one = long(predictions(spark, root)).where((F.col("architecture") == "encoder") & (F.col("source_dataset") == "ptbxl") & F.col("target_dataset").isin("cpsc2018", "georgia"))
     return rounded(bootstrap.record_intervals(one.select("target_dataset", "record_id", "label", "y", "p"), ["target_dataset"], replicates=_REPS))
 
 
 @catalog.query("interval_widths", f"WITH {_BOOT}, e AS (SELECT target_dataset, metric, quantile_cont(auroc, 0.975) - quantile_cont(auroc, 0.025) AS w FROM b GROUP BY ALL) SELECT 'encoder' AS architecture, target_dataset, {r6('avg(w)')} AS mean_width, {r6('stddev_samp(w)')} AS sd_width FROM e GROUP BY target_dataset")
 def interval_widths(spark: SparkSession, root: str) -> DataFrame:
-    """How wide the intervals are per target."""
+    """A sample that SQL can check: widths over the labels of two cells. ``auroc_interval_widths`` has all."""
     one = long(predictions(spark, root)).where((F.col("architecture") == "encoder") & (F.col("source_dataset") == "ptbxl") & F.col("target_dataset").isin("cpsc2018", "georgia"))
     ci = bootstrap.record_intervals(one.select("target_dataset", "record_id", "label", "y", "p"), ["target_dataset"], replicates=_REPS)
     return rounded(analysis.interval_widths(ci.withColumn("architecture", F.lit("encoder"))))
 
 
+def _all_intervals(spark: SparkSession, root: str) -> DataFrame:
+    return bootstrap.record_intervals(long(predictions(spark, root)), KEYS)
+
+
+@catalog.query("auroc_intervals")
+def auroc_intervals(spark: SparkSession, root: str) -> DataFrame:
+    """Intervals of class and macro scores of every cell, by 1000 resamplings of its records."""
+    return rounded(_all_intervals(spark, root))
+
+
+@catalog.query("auroc_interval_widths")
+def auroc_interval_widths(spark: SparkSession, root: str) -> DataFrame:
+    """How wide the macro intervals are per architecture and target, over all sources."""
+    return rounded(analysis.interval_widths(_all_intervals(spark, root).where(F.col("metric") == "macro")))
+
+
 _PREV = " UNION ALL ".join(f"SELECT dataset, '{x}' AS label, {x} AS y FROM records" for x in LABELS)
 
 
