@@ -9,6 +9,7 @@ from ..functions.codes import delimited_codes, labels_of, mapping_codes
 from ..functions.coerce import any_positive, binary_flag, hash_split, join_texts, plausible_age, safe_relative_path
 from ..functions.listings import number_in, same_file, split_name
 from ..functions.names import LABELS, canonical_dataset, slug
+from ..functions.packed import explode_packed
 from ..operators.dedup import conflicting, exact_copies, keep_first
 from ..plans import eligibility, manifest, stratify
 from ..plans.labels import labels_from_diagnoses, text_labels
@@ -223,7 +224,7 @@ _DELIMITED = f"codes AS (SELECT index_id, trim(unnest(string_split_regex(raw_lab
 
 @catalog.query("codes_to_labels", f"WITH {_DELIMITED}, m(code, label) AS (VALUES {_MAP_SQL}) SELECT index_id, {', '.join(f'''CAST(coalesce(max(CASE WHEN label = '{x}' THEN 1 END), 0) AS TINYINT) AS {x}''' for x in LABELS)} FROM k LEFT JOIN m USING (code) GROUP BY index_id")
 def codes_to_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Labels of plainly delimited code fields."""
+    """Labels of plainly delimited code fields only. ``packed_labels`` has all fields."""
     rows = table(spark, root, "signal_index").where(F.col("raw_labels").rlike("^[A-Za-z0-9_. ,|-]+$"))
     codes = rows.select("index_id", F.explode(delimited_codes(F.col("raw_labels"))).alias("code"))
     return labels_from_diagnoses(codes, _code_table(spark), "index_id", "code")
@@ -238,13 +239,28 @@ def mapping_literals(spark: SparkSession, root: str) -> DataFrame:
 
 @catalog.query("pivot_labels", f"WITH {_DELIMITED}, m(code, label) AS (VALUES {_MAP_SQL}) SELECT dataset, {', '.join(f'''count(DISTINCT CASE WHEN label = '{x}' THEN index_id END) AS {x}''' for x in LABELS)} FROM k JOIN m USING (code) JOIN signal_index USING (index_id) GROUP BY dataset")
 def pivot_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Labelled index rows per dataset, labels as columns."""
+    """Labelled index rows per dataset, of plainly delimited fields only. ``packed_label_counts`` has all fields."""
     rows = table(spark, root, "signal_index").where(F.col("raw_labels").rlike("^[A-Za-z0-9_. ,|-]+$"))
     codes = rows.select("index_id", "dataset", F.explode(delimited_codes(F.col("raw_labels"))).alias("source_code"))
     hit = codes.join(_code_table(spark), "source_code").select("index_id", "dataset", "target_label").distinct()
     return hit.groupBy("dataset").pivot("target_label", list(LABELS)).agg(F.count(F.lit(1))).na.fill(0, list(LABELS))
 
 
+@catalog.query("packed_labels")
+def packed_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Labels of every index row with a code, whatever the notation of its field."""
+    codes = explode_packed(table(spark, root, "signal_index"), ["index_id"], "raw_labels")
+    return labels_from_diagnoses(codes, _code_table(spark), "index_id", "code")
+
+
+@catalog.query("packed_label_counts")
+def packed_label_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Labelled index rows per dataset over fields of every notation, labels as columns."""
+    codes = explode_packed(table(spark, root, "signal_index"), ["index_id", "dataset"], "raw_labels").withColumnRenamed("code", "source_code")
+    hit = codes.join(_code_table(spark), "source_code").select("index_id", "dataset", "target_label").distinct()
+    return hit.groupBy("dataset").pivot("target_label", list(LABELS)).agg(F.count(F.lit(1))).na.fill(0, list(LABELS))
+
+
 _TEXT = {"af_afl": "atrial f(ibrillation|lutter)", "lbbb": "left bundle", "rbbb": "right bundle"}
 
 
