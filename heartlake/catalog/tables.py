@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import number, ratio
+from ..functions.listings import split_name
 from ..operators.metrics import sem
 from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import first_per_key, rank_average, rank_min, sample_rows, share_of_total, top_per_group
@@ -209,10 +210,22 @@ def overlap_removal_summary(spark: SparkSession, root: str) -> DataFrame:
 
 @catalog.query("filtered_listing", f"{_MATCHED} SELECT split, count(*) AS rows FROM week2_manifest x WHERE NOT (split = 'test' AND EXISTS (SELECT 1 FROM m WHERE m.record_id = x.record_id)) OR split IS NULL GROUP BY split")
 def filtered_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Rows per split once matched test records are gone."""
+    """Rows per split without those of matched records whose split is exactly ``test``, as its SQL has it. ``clean_listing`` takes every spelling."""
     part = F.lower(F.trim("split"))
     w = table(spark, root, "fingerprint_cache").where(F.col("exact_hash").isNotNull()).select("record_id", part.alias("part"), "exact_hash")
     t = w.where(F.col("part") == "test").join(w.where(F.col("part") == "train").select("exact_hash"), "exact_hash", "left_semi").select(F.col("record_id").alias("target_record_id"))
+    return overlap.without_plain_overlaps(table(spark, root, "week2_manifest"), t).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_TEST = "lower(trim({c}, E' \\t\\r\\n')) IN ('test', 'testing')"
+_TRAIN = "lower(trim({c}, E' \\t\\r\\n')) IN ('train', 'training')"
+
+
+@catalog.query("clean_listing", f"WITH w AS (SELECT record_id, split, exact_hash FROM fingerprint_cache WHERE exact_hash IS NOT NULL), m AS (SELECT DISTINCT t.record_id FROM w s JOIN w t USING (exact_hash) WHERE {_TRAIN.format(c='s.split')} AND {_TEST.format(c='t.split')}) SELECT split, count(*) AS rows FROM week2_manifest x WHERE NOT coalesce({_TEST.format(c='split')} AND EXISTS (SELECT 1 FROM m WHERE m.record_id = x.record_id), false) GROUP BY split")
+def clean_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Rows per split once matched test records are gone, however test is spelled."""
+    w = table(spark, root, "fingerprint_cache").where(F.col("exact_hash").isNotNull()).select("record_id", split_name(F.col("split")).alias("part"), "exact_hash")
+    t = w.where(F.col("part") == "test").join(w.where(F.col("part") == "train").select("exact_hash"), "exact_hash", "left_semi").select(F.col("record_id").alias("target_record_id"))
     return overlap.without_overlaps(table(spark, root, "week2_manifest"), t).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 

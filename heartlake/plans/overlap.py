@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.listings import split_name
 from ..operators.ranking import first_per_key
 
 
@@ -98,7 +99,13 @@ def best_matches(verified: DataFrame, rule: AuditThresholds = AuditThresholds())
 
 
 def without_overlaps(manifest: DataFrame, matches: DataFrame) -> DataFrame:
-    """The listing without the test rows of matched target records; other splits stay whole."""
+    """The listing without the test rows of matched target records, in any spelling of test; other splits stay whole."""
+    gone = matches.select(F.col("target_record_id").alias("record_id")).distinct().withColumn("__split", F.lit("test"))
+    return manifest.withColumn("__split", split_name(F.col("split"))).join(gone, ["record_id", "__split"], "left_anti").select(*manifest.columns)
+
+
+def without_plain_overlaps(manifest: DataFrame, matches: DataFrame) -> DataFrame:
+    """As ``without_overlaps``, but only rows whose split is exactly ``test``."""
     gone = matches.select(F.col("target_record_id").alias("record_id")).distinct().withColumn("split", F.lit("test"))
     return manifest.join(gone, ["record_id", "split"], "left_anti")
 

@@ -1,4 +1,7 @@
 from heartlake.catalog.core import catalog
+from heartlake.functions.listings import split_name
+from heartlake.plans.overlap import without_overlaps
+from tests.oracle import differences
 
 
 def index_of(spark, root, rows):
@@ -14,3 +17,15 @@ def test_packed_labels_in_every_notation(spark, tmp_path):
     assert got == {1: "00011", 2: "01100", 3: "10000", 4: "01010", 5: "11000", 6: "00100", 9: "00000"}
     counts = {r.dataset: tuple(r[x] for x in flags) for r in catalog.queries["packed_label_counts"](spark, root).collect()}
     assert counts == {"a": (0, 1, 1, 1, 1), "b": (2, 2, 1, 1, 0)}
+
+
+def test_overlaps_go_in_every_spelling(spark):
+    rows = [(f"r{i % 2}", s) for i, s in enumerate(["test", "test", "Test", "Test", " TEST\t", "testing", "train", "train", None, None, "val", "other"])]
+    left = without_overlaps(spark.createDataFrame(rows, "record_id string, split string"), spark.createDataFrame([("r0",)], "target_record_id string"))
+    assert left.columns == ["record_id", "split"]
+    assert sorted((r.record_id, str(r.split)) for r in left.collect()) == sorted((x, str(s)) for x, s in rows if x == "r1" or s in ("train", None, "val"))
+    assert left.where((split_name(left.split) == "test") & (left.record_id == "r0")).count() == 0
+
+
+def test_clean_listing_agrees_with_sql(spark, small):
+    assert "clean_listing" in catalog.sql and differences(catalog, spark, small, {"clean_listing"}) == {}
