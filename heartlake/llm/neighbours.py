@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,14 +80,41 @@ def _sample(df: DataFrame, id_col: str, features: str, rows: int, index: GraphIn
     return unit(m)
 
 
+def _hashes(index: GraphIndex):
+    """Batches of ``(vec_id, features)`` to hashes of each usable vector and of its direction.
+
+    The direction's hash is of 16 random projections in steps of 1e-5: it holds
+    whatever the gain, bar one vector in about a thousand at the edge of a step.
+    Vectors that agree in all 16 are within about 1e-5 of each other, so their
+    cosine is 1 at six decimals; that two farther ones agree has chance 1e-30.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes = np.random.default_rng(index.seed).normal(size=(index.dim, 16))
+        for batch in batches:
+            at, m = matrix(batch.column(1), index.dim)
+            if not len(at):
+                continue
+            m = m + np.float32(0)
+            length = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
+            steps = np.round((m.astype(np.float64) @ axes) / length[:, None] * 1e5).astype(np.int64)
+            cols = [[xxhash.xxh3_64_intdigest(r, seed) for r in rows] for rows in (m, steps) for seed in (index.seed, index.seed + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at))] + [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols], names=["vec_id", "h1", "h2", "d1", "d2"])
+
+    return run
+
+
 def _copies(df: DataFrame, id_col: str, features: str, index: GraphIndex) -> DataFrame:
-    """``(vec_id, rep, n)`` of the usable vectors that have exact copies; ``rep`` is the smallest id of the ``n``."""
-    top, low = F.array_max(features), F.array_min(features)
-    finite = ~F.isnan(top) & (top < F.lit(float("inf"))) & (low > F.lit(float("-inf"))) & ~F.exists(features, lambda x: x.isNull())
-    usable = (F.size(features) == index.dim) & finite & ((top != 0) | (low != 0))
-    hashed = df.where(usable).select(F.col(id_col).alias("vec_id"), F.xxhash64(features).alias("h1"), F.xxhash64(F.lit(index.seed), features).alias("h2"))
-    classes = hashed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return hashed.join(classes, ["h1", "h2"]).select("vec_id", "rep", "n")
+    """``(vec_id, rep, n)`` of the usable vectors that have copies; ``rep`` is the smallest id of the ``n``.
+
+    Copies are equal vectors, and vectors of equal direction where these are more than ``k``.
+    """
+    hashed = df.select(F.col(id_col).alias("vec_id"), features).mapInArrow(_hashes(index), "vec_id bigint, h1 bigint, h2 bigint, d1 bigint, d2 bigint")
+    hashed = cut(hashed)
+    aligned = hashed.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > index.k)
+    equal = hashed.join(aligned, ["d1", "d2"], "left_anti")
+    classes = equal.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return hashed.join(aligned, ["d1", "d2"]).select("vec_id", "rep", "n").unionByName(equal.join(classes, ["h1", "h2"]).select("vec_id", "rep", "n"))
 
 
 def _route(index: GraphIndex, centres: np.ndarray, parts: np.ndarray):
@@ -162,11 +190,13 @@ def _search_shard(index: GraphIndex):
             some = np.where(b < 0, 0, b)
             near = np.matmul(u[some], u[at : at + 512][:, :, None])[:, :, 0]
             near[(b < 0) | (b == np.arange(at, at + len(b))[:, None])] = -9
-            take = min(keep, b.shape[1])
-            top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            r, c = np.nonzero(np.take_along_axis(near, top, 1) > -9)
+            take, last = min(keep, b.shape[1]), min(index.k, b.shape[1])
+            top = -np.partition(-near, sorted({last - 1, take - 1}), axis=1)
+            # whatever may tie with the k-th once rounded goes to the exact ranking too
+            least = np.minimum(top[:, take - 1], top[:, last - 1] - 2e-6)
+            r, c = np.nonzero((near >= least[:, None]) & (near > -9))
             qs.append(at + r)
-            ns.append(np.take_along_axis(b, top, 1)[r, c])
+            ns.append(b[r, c])
         q, n = np.concatenate(qs), np.concatenate(ns)
         cos = np.empty(len(q))
         for at in range(0, len(q), 8192):
@@ -185,9 +215,10 @@ def nearest(df: DataFrame, id_col: str = "vec_id", features: str = "features", i
     """``vec_id, rank, other_id, cosine``: the ``k`` most similar other vectors of each usable vector.
 
     Cosine is rounded to six decimals; of equals the smaller id goes first.
-    Exact copies enter the index once, so a vector copied a million times
-    neither fills a shard nor hides its neighbours; each copy gets its own
-    rows.  Vectors that aren't usable (null, wrong length, not finite, all
+    Exact copies enter the index once, and so do more than ``k`` vectors that
+    differ in gain only, so a vector copied a million times neither fills a
+    shard nor hides its neighbours; each copy gets its own rows.  A family that
+    differs in gain is ranked by the cosine of its smallest id towards others.  Vectors that aren't usable (null, wrong length, not finite, all
     zero) have no rows and are nobody's neighbour; a collection of one has
     none either.  Ids must be unique and not null.
     """

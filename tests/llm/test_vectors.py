@@ -83,6 +83,19 @@ def test_copies_ties_and_unusable(spark):
     assert sum(len(v) for v in got.values()) == 22 * 5
 
 
+def test_large_families_of_differing_gain(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3, 768)).astype(np.float32)
+    rows = [(int(i), (base[f] * np.float32(g)).astype(np.float32)) for f, size in ((0, 150), (1, 40), (2, 4)) for i, g in zip(1000 * f + rng.permutation(size) + 1, rng.uniform(0.2, 5, size))]
+    got = {}
+    for r in nearest(table(spark, rows)).orderBy("rank").collect():
+        got.setdefault(r.vec_id, []).append((r.other_id, r.cosine))
+    want = exact([i for i, _ in rows], [v for _, v in rows], 5)
+    big = [i for i, _ in rows if i < 2000]
+    assert set(got) == set(want) and {i: got[i] for i in big} == {i: want[i] for i in big}
+    assert all(got[i][:3] == want[i][:3] for i in want if i > 2000)
+
+
 def test_few_vectors_and_clashing_columns(spark):
     empty = nearest(table(spark, []), index=GraphIndex(dim=4))
     assert empty.count() == 0 and empty.columns == ["vec_id", "rank", "other_id", "cosine"]
