@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 
@@ -113,14 +114,65 @@ def test_residue_and_its_look_alikes(spark):
     assert residue.judged(df.limit(0)).count() == 0
 
 
-def test_every_exemplar_is_found_alone():
+def judge(texts=(), documents=1000):
     index, rule = residue.ExemplarIndex(), residue.ResidueRule()
-    weight = residue.weigher({"": 1000}, rule)
+    return residue.Judge(index, residue.Corpus(documents, {w: documents // 3 for w in ("the", "a", "in", "of", "and", "to")}, frozenset({"rate"})), rule)
+
+
+def test_every_exemplar_is_found_alone():
+    found = judge()
     for kind, text in EXEMPLARS:
-        got, share = residue.verdict(text, index, weight, rule)
+        got, share = found(text)
         assert (got is None) == (kind == "furniture"), text
 
 
 def test_rare_words_weigh_more():
-    w = residue.weigher({"": 1000, "lorem": 1, "the": 900}, residue.ResidueRule())
-    assert w("lorem") > w("unknown") > w("the") > 0 == w("#")
+    rule = residue.ResidueRule()
+    w = residue.weigher(residue.Corpus(1000, {"lorem": 20, "the": 900}, frozenset()), rule)
+    assert w("unknown") > w("lorem") > w("the") > 0 == w("#")
+    assert w("unknown") == residue.weigher(residue.Corpus(1000, {"unknown": 10}, frozenset()), rule)("unknown")
+
+
+#: Residue in wordings that neither the examples nor the tables have.
+FOREIGN = [
+    "Error establishing connection to the database", "HTTP 410 Gone", "418 I'm a Teapot", "This page could not be found", "The page you tried to open does not exist.", "Sorry! We couldn't find the page you were looking for.", "You don't have permission to access /private on this server.",
+    "Unauthorized. Please log in to continue.", "Your login session has expired. Please log in again.", "Internal server error, please contact the administrator.", "Bad gateway: the proxy server received an invalid response.", "The server is temporarily unavailable. Please try again in a few minutes.",
+    "Site is temporarily down for scheduled maintenance.", "An unexpected error has occurred. Please reload the page.", "Oops, something went wrong! Please contact support.", "Uncaught TypeError: Cannot read property 'map' of undefined", "Traceback (most recent call last): File \"a.py\", line 3, in load ValueError: bad input",
+    "This site needs JavaScript enabled in your browser.", "Turn on JavaScript in your browser to continue.", "Please enable scripts and reload this page.", "Cookies must be enabled to use this site.", "Your browser is not supported. Please upgrade your browser.", "JavaScript muss aktiviert sein. Bitte aktivieren Sie JavaScript in Ihrem Browser.",
+    "Por favor, active JavaScript en su navegador.", "Por favor, ative o JavaScript no seu navegador.", "Veuillez activer JavaScript dans votre navigateur.", "Die angeforderte Seite existiert nicht. Zur Startseite", "Lo sentimos, la página solicitada no existe.", "A página solicitada não existe.",
+    "Insert your text here", "This is placeholder text.", "Sample content goes here.", "More content coming soon.", "This website is under construction.", "TODO add text", "Lorem ipsum dolor sit amet, fabulas tritani mediocritatem ius an.", "Neque porro quisquam est qui dolorem ipsum quia dolor sit amet", "Donec sed diam eget risus varius blandit.", "asdf jkl asdf jkl", "n/a",
+    "Dear {{ customer.name }}, your visit is due.", "Total: ${invoice.total}", "Name: <first name>", "[Your name here]", "Hello %(user)s, welcome", "Result: <%= result %>", "See #{title}",
+]
+
+
+def test_wordings_foreign_to_examples_and_tables():
+    texts = {t for _, t in EXEMPLARS}
+    assert not texts & set(FOREIGN) and len(FOREIGN) >= 30
+    found = judge()
+    missed = [t for t in FOREIGN if not found(t)[0]]
+    assert len(missed) <= 0.1 * len(FOREIGN), missed
+
+
+def test_real_sentences_with_words_of_residue():
+    found = judge()
+    real = [
+        "The reader could not find the lead in the archive, and the trace was sent again.", "Record 404 was not among the ST changes.", "Access to the archive was granted on Monday after a call.", "We enabled JavaScript on the ward's viewers after the vendor asked for it.",
+        "Insert electrode V1 in the fourth intercostal space.", "[REDACTED] was seen in clinic.", "Matrix [[1, 2], [3, 4]] has rank two.", r"\frac{a}{b} and x_{i} are used.", "<reading><value>5</value></reading>", "See the note [see page 4] for details.", "if (a < b) return c;", "In vivo et in vitro: QT in utero et post partum.",
+    ]
+    assert [t for t in real if found(t)[0]] == []
+
+
+def test_nothing_is_too_long():
+    found = judge()
+    for text in ("{{ " + "a" * 50_000 + " }}", "Value [insert " + "long " * 9_000 + "here]", "<a href='" + "x" * 9_000 + "'>404 Not Found</a>", "<!-- " + "word <b> " * 9_000 + "-->Page not found"):
+        assert found(text)[0], text[:20]
+    began = time.perf_counter()
+    for bad in ("{{", "[[", "<<", "<!--", "<a ", "${", "%(", "__A", "[", "{a"):
+        found(bad * 50_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_field_names_of_capitals_come_from_the_corpus(spark):
+    rows = [(1, "RATE: [RATE BPM] MS"), (2, "Rate: {{rate_bpm}}"), (3, "SINUS RHYTHM [CHECKED TWICE]"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.judged(df).collect()} == {1, 2}
