@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..session import table
 from .bpe import encoded
-from .leaks import leaked
+from .leaks import contained, leaked
 from .residue import judged
 
 catalog = Catalog()
@@ -37,6 +37,13 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return items.join(per, "item_id", "left").fillna(none)
 
 
+@catalog.query("p8_edited")
+def p8_edited(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold most of an item's shingles, but no unbroken passage of it."""
+    found = contained(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return found.where("shared = 0").select("doc_id", "item_id", "containment")
+
+
 @catalog.query("p9_found")
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold residue instead of report content."""

@@ -92,6 +92,32 @@ def test_leaks_in_long_texts_and_empty_tables(spark):
     assert leaks.leaked(d, none).count() == 0 and leaks.leaked(d.limit(0), none).count() == 0
 
 
+def test_long_tags_and_comments_make_no_difference(spark):
+    w = OTHER.split()[:12]
+    cut = lambda x: " ".join(w[:6]) + x + " ".join(w[6:])
+    forms = [cut(" <a href='" + "more words " * 90 + "'> "), cut("<!-- a <b> and " + "more words " * 90 + "--> "), cut(" <br/> "), "x <QT " + " ".join(w) + " RR> y", cut(" <!-- open ")]
+    assert {d for d, i in leaked(spark, forms)} == {0, 1, 2, 3}
+
+
+def test_edited_items_are_contained(spark):
+    r = random.Random(9)
+    items = [(i, " ".join(f"w{r.randint(0, 400)}" for _ in range(r.choice([30, 64, 90, 128, 200])))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for at in range(11, len(w), 11):  # no twelve words unbroken
+            w[at] = "edited"
+        a, b = r.randint(0, 3000), r.randint(0, 3000)
+        docs.append(" ".join([f"f{r.randint(0, 9999)}" for _ in range(a)] + (w if i % 2 else text.split()) + [f"f{r.randint(0, 9999)}" for _ in range(b)]))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    rule = leaks.LeakRule(contained=0.5)
+    got = {(x.doc_id, x.item_id): (x.shared > 0, x.containment) for x in leaks.contained(d, i, rule).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(k, k): k % 2 == 0 for k in range(40)}
+    assert all(v[1] == 1 or k[0] % 2 for k, v in got.items())
+    assert {k for k in got} == {(x.doc_id, x.item_id) for x in leaks.contained(d, i, leaks.LeakRule(contained=0.5, item_keys=10, together=1)).collect()}
+
+
 REAL = "Sinus rhythm at 71 bpm with a left axis. PR 160 ms, QRS 92 ms. No acute change against Monday."
 CASES = [
     "Please enable JavaScript to view this report.", "PLEASE  ENABLE\n JAVASCRIPT TO VIEW THIS REPORT.", "<html><body><h1>502 Bad Gateway</h1><p> upstream-viewer/377</p></body></html>",
