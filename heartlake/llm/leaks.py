@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import salted_join
+from ..session import cut
 from .markup import plain, without_tags
 
 WORD = re.compile(r"[^\W_]+")
@@ -283,7 +284,7 @@ def contained(documents: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(
             at, keys, parts = sketcher.of_items(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.view(np.int64)), pa.array(parts, pa.int64())], names=["item_id", "key", "part"])
 
-    wanted = tests.mapInArrow(sketch_items, "item_id bigint, key bigint, part bigint").distinct()
+    wanted = cut(tests.mapInArrow(sketch_items, "item_id bigint, key bigint, part bigint").distinct())
     sizes = [r["part"] for r in wanted.select("part").where("part >= 0").distinct().collect()]  # at most 63
     few = wanted.select("key").distinct().limit(rule.item_keys + 1).toArrow().column("key").to_numpy().view(np.uint64)
     known = spark.sparkContext.broadcast(np.sort(few)) if len(few) <= rule.item_keys else None

@@ -19,13 +19,26 @@ WITH e AS (
   WHERE {_SPLIT} = 'train' AND af_afl IN (0, 1) AND lbbb IN (0, 1) AND rbbb IN (0, 1) AND av_block_1 IN (0, 1) AND record_id IS NOT NULL),
 n AS (SELECT af_afl, lbbb, rbbb, av_block_1, count(*) AS available FROM e GROUP BY ALL),
 x AS (
-  SELECT p.*, coalesce(n.available, 0) AS available, round(target_share * sample_size, 9) AS exact
+  SELECT p.*, coalesce(n.available, 0) AS available, coalesce(round(target_share * sample_size, 9), 0) AS exact
   FROM sample_plan p LEFT JOIN n USING (af_afl, lbbb, rbbb, av_block_1)),
-y AS (
-  SELECT *, floor(exact) AS whole, row_number() OVER (PARTITION BY plan_id ORDER BY exact - floor(exact) DESC, cat_id) AS turn,
-         sample_size - sum(floor(exact)) OVER (PARTITION BY plan_id) AS rest FROM x),
-z AS (
-  SELECT *, CAST(greatest(whole + CASE WHEN turn <= rest THEN 1 ELSE 0 END, min_rows) AS BIGINT) AS quota, available < exact OR available < min_rows AS short FROM y)
+b AS (
+  SELECT *, CAST(least(available, coalesce(min_rows, 0)) AS DOUBLE) AS low, CAST(CASE WHEN exact > 0 THEN available ELSE least(available, coalesce(min_rows, 0)) END AS DOUBLE) AS high,
+         coalesce(available < exact OR available < min_rows, false) AS short FROM x),
+ends AS (
+  SELECT plan_id, pos, sum(slope) AS slope FROM (SELECT plan_id, low / exact AS pos, exact AS slope FROM b WHERE exact > 0 UNION ALL SELECT plan_id, high / exact, -exact FROM b WHERE exact > 0) GROUP BY ALL),
+steps AS (
+  SELECT plan_id, pos, sum(slope) OVER (PARTITION BY plan_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS slope, lead(pos) OVER (PARTITION BY plan_id ORDER BY pos) AS next FROM ends),
+gains AS (SELECT *, coalesce(slope * (next - pos), 0) AS gain FROM steps),
+need AS (
+  SELECT g.*, f.size - f.lowest - coalesce(sum(gain) OVER (PARTITION BY g.plan_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS need
+  FROM gains g JOIN (SELECT plan_id, sum(low) AS lowest, max(sample_size) AS size FROM b GROUP BY plan_id) f ON f.plan_id = g.plan_id),
+factor AS (
+  SELECT plan_id, coalesce(min(CASE WHEN need <= 0 THEN pos WHEN gain > 0 AND need <= gain THEN pos + need / slope END), max(pos)) AS factor FROM need GROUP BY plan_id),
+fair AS (SELECT b.*, round(greatest(low, least(high, coalesce(factor, 0) * exact)), 6) AS fair FROM b LEFT JOIN factor USING (plan_id)),
+turns AS (
+  SELECT *, floor(fair) AS whole, round(sum(fair) OVER (PARTITION BY plan_id) - sum(floor(fair)) OVER (PARTITION BY plan_id)) AS rest,
+         row_number() OVER (PARTITION BY plan_id ORDER BY fair - floor(fair) DESC, cat_id) AS turn FROM fair),
+z AS (SELECT *, CAST(whole + CASE WHEN turn <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM turns)
 """
 
 
@@ -35,7 +48,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return reservoirs.report(table(spark, root, "week2_manifest"), table(spark, root, "sample_plan")).where("short").select("plan_id", "cat_id")
 
 
-@catalog.query("p4_report", _QUOTAS + "SELECT plan_id, cat_id, af_afl, lbbb, rbbb, av_block_1, target_share, sample_size, min_rows, available, quota, least(quota, available) AS drawn, short FROM z")
+@catalog.query("p4_report", _QUOTAS + "SELECT plan_id, cat_id, af_afl, lbbb, rbbb, av_block_1, target_share, sample_size, min_rows, available, quota, quota AS drawn, round(quota / nullif(sum(quota) OVER (PARTITION BY plan_id), 0), 6) AS share, short FROM z")
 def p4_report(spark: SparkSession, root: str) -> DataFrame:
     """Every plan category with what it has, should get and gets."""
     return reservoirs.report(table(spark, root, "week2_manifest"), table(spark, root, "sample_plan"))

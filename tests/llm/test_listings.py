@@ -139,3 +139,48 @@ def test_draws_are_uniform(spark):
     plan = spark.createDataFrame([(1, 1, 0, 0, 0, 0, 1.0, 0, 100)], "plan_id bigint, cat_id bigint, af_afl int, lbbb int, rbbb int, av_block_1 int, target_share double, min_rows int, sample_size int")
     low = [sum(int(x.record_id[1:]) < 200 for x in reservoirs.draw(m, plan, seed).collect()) for seed in range(5)]
     assert all(30 < n < 70 for n in low) and len(set(low)) > 1
+
+
+PLAN = "plan_id bigint, cat_id bigint, af_afl int, lbbb int, rbbb int, av_block_1 int, target_share double, min_rows int, sample_size int"
+
+
+def test_quotas_add_up_to_the_sample(spark):
+    have = {(0, 0, 0, 0): 500, (0, 0, 0, 1): 30, (0, 0, 1, 0): 400, (0, 1, 0, 0): 12}
+    rows = [(f"r{c}{i}", "train", *c) for c, n in have.items() for i in range(n)]
+    m = spark.createDataFrame(rows, "record_id string, split string, af_afl int, lbbb int, rbbb int, av_block_1 int")
+    plans = {1: (200, [(0.4, 0), (0.3, 0), (0.2, 0), (0.1, 0)]), 2: (100, [(0.5, 0), (0.01, 10), (0.49, 0), (0.0, 5)]), 3: (5000, [(0.25, 0)] * 4), 4: (10, [(0.25, 20)] * 4)}
+    plan = spark.createDataFrame([(p, i, *c, x[0], x[1], size) for p, (size, shares) in plans.items() for i, (c, x) in enumerate(zip(have, shares))], PLAN)
+    got = {}
+    for x in reservoirs.report(m, plan).orderBy("cat_id").collect():
+        got.setdefault(x.plan_id, []).append((x.drawn, x.short))
+    assert [d for d, _ in got[1]] == [105, 30, 53, 12] and sum(d for d, _ in got[1]) == 200  # what 2 and 4 lack is shared 2 to 1
+    assert [d for d, _ in got[2]] == [43, 10, 42, 5]
+    assert [d for d, _ in got[3]] == list(have.values()) and all(s for _, s in got[3])
+    assert [d for d, _ in got[4]] == [20, 20, 20, 12]
+    assert [s for _, s in got[1]] == [False, True, False, True]
+    drawn = reservoirs.draw(m, plan).groupBy("plan_id").count().collect()
+    assert {x.plan_id: x["count"] for x in drawn} == {1: 200, 2: 100, 3: 942, 4: 72}
+
+
+def test_shortage_comes_from_the_reservoirs(spark, monkeypatch):
+    m = spark.createDataFrame([(f"r{i}", "train", 0, 0, 0, 0) for i in range(50)], "record_id string, split string, af_afl int, lbbb int, rbbb int, av_block_1 int")
+    plan = spark.createDataFrame([(1, 1, 0, 0, 0, 0, 1.0, 0, 40)], PLAN)
+    assert [x.short for x in reservoirs.report(m, plan).collect()] == [False]
+    parts = reservoirs.reservoirs(m, plan).where("record_id is not null and priority % 2 = 0 or seen > 0")
+    assert [x.short for x in reservoirs.quotas(plan, reservoirs.fill(parts)).collect()] == [True]
+
+
+def test_reservoirs_merge():
+    r = np.random.default_rng(3)
+    p, names = r.integers(0, 50, 400), np.array([f"r{i}" for i in range(400)], object)
+    whole = reservoirs.Reservoir(30)
+    whole.offer(p, names)
+    whole.trim()
+    merged = reservoirs.Reservoir(30)
+    for a in range(0, 400, 37):
+        part = reservoirs.Reservoir(30)
+        part.offer(p[a : a + 37], names[a : a + 37])
+        part.trim()
+        merged.offer(part.priority, part.record)
+    merged.trim()
+    assert set(merged.record) == set(whole.record) and len(whole.record) == 30
