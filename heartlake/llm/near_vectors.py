@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from ..session import cut
 from .vectors import cosines, matrix, unit
 
@@ -25,10 +26,12 @@ class SignHashes:
     logarithm of the collection, so that buckets of unrelated vectors don't
     grow.  The number of tables follows from ``missed``, the chance that a pair
     at the threshold shares no key; closer pairs are missed far more seldom.
+    Half of that chance is left for buckets that are parted again.
     The sketch of 512 signs, of which at most ``apart`` may differ (23 do on
     average, with a deviation of 4.7), loses less than one pair in ten
-    millions.  A bucket of more than ``hot`` vectors is parted again, by
-    ``fine_tables`` tables of ``fine_bits`` signs.  ``broadcast_ids`` bounds
+    millions.  A bucket of more than ``hot`` vectors is parted again, by tables
+    of ``fine_bits`` signs, as many as that chance needs; what then still shares
+    a bucket with very many is spread over tasks.  ``broadcast_ids`` bounds
     the ids (8 bytes each) sent to every task to fetch their vectors; beyond
     it both sides are shuffled.
     """
@@ -39,15 +42,21 @@ class SignHashes:
     apart: int = 49
     hot: int = 1000
     fine_bits: int = 16
-    fine_tables: int = 16
     broadcast_ids: int = 500_000
     seed: int = 11
 
+    def _tables(self, bits: int) -> int:
+        agree = (1 - math.acos(self.least) / math.pi) ** bits
+        return math.ceil(math.log(self.missed / 2) / math.log(1 - agree))
+
+    @property
+    def fine_tables(self) -> int:
+        return self._tables(self.fine_bits)
+
     def shape(self, rows: int) -> tuple[int, int]:
         """Bits and tables for a collection of ``rows`` vectors."""
         bits = min(40, max(16, math.ceil(math.log2(max(rows, 2))) + 7))
-        agree = (1 - math.acos(self.least) / math.pi) ** bits
-        return bits, math.ceil(math.log(self.missed) / math.log(1 - agree))
+        return bits, self._tables(bits)
 
 
 _WORDS = 8  # of the sketch
@@ -96,10 +105,10 @@ def _verify(rule: SignHashes):
     return run
 
 
-def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs(rows: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
     a = rows.select(*keys, F.col("id").alias("id_a"))
     b = rows.select(*keys, F.col("id").alias("id_b"))
-    return a.join(b, keys).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    return (salted_join(a, b, keys, 2_000) if spread else a.join(b, keys)).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
 
 
 def near_pairs(df: DataFrame, id_col: str, owner: str, features: str, rule: SignHashes = SignHashes()) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +125,7 @@ def near_pairs(df: DataFrame, id_col: str, owner: str, features: str, rule: Sign
     hashed = cut(base.mapInArrow(_hash(rule, base.count()), "id bigint, owner string, content binary, keys array<bigint>, fine array<int>, sketch array<bigint>"))
     sole = F.when(F.min("owner") == F.max("owner"), F.min("owner"))
     first = hashed.groupBy("content").agg(F.min("id").alias("rep"), sole.alias("sole"))
-    owners = hashed.select("content", "owner").distinct().join(first, "content").select(F.col("rep").alias("id"), "owner")
+    owners = salted_join(hashed.select("content", "owner").distinct(), first, ["content"]).select(F.col("rep").alias("id"), "owner")
     one = cut(hashed.join(first.select(F.col("rep").alias("id"), "sole"), "id").select("id", "keys", "fine", "sketch", "sole"))
 
     rows = one.select("id", F.explode("keys").alias("key"))
@@ -126,7 +135,7 @@ def near_pairs(df: DataFrame, id_col: str, owner: str, features: str, rule: Sign
         pairs = _pairs(rows, ["key"])
     else:
         finer = rows.join(hot, "key", "left_semi").join(one.select("id", "fine"), "id").select("id", "key", F.posexplode("fine").alias("no", "fine"))
-        pairs = _pairs(rows.join(hot, "key", "left_anti"), ["key"]).unionByName(_pairs(finer, ["key", "no", "fine"]))
+        pairs = _pairs(rows.join(hot, "key", "left_anti"), ["key"]).unionByName(_pairs(finer, ["key", "no", "fine"], spread=True))
     differ = F.lit(0)
     for k in range(_WORDS):
         differ = differ + F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k]))

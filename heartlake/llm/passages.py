@@ -19,8 +19,13 @@ def fenced(kind: str, field: Column) -> Column:
     return F.concat(F.lit(kind + _BEGIN), F.translate(field, _BEGIN + _END, ""), F.lit(_END))
 
 
+def step(name: Column, last: bool) -> Column:
+    """One step of a path as a passage of the fenced path: a folder, or what the path ends in."""
+    return F.concat(F.lit("/"), F.translate(name, _BEGIN + _END, ""), F.lit(_END if last else "/"))
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one shard, evaluation passages (side 0) first."""
+    """Rows of one shard, evaluation passages (side 0) first, to the passages found."""
     import ahocorasick
 
     automaton, passages, found, ready = ahocorasick.Automaton(), 0, set(), False
@@ -37,19 +42,30 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"text": sorted(found)}, dtype=object)
 
 
-def matched_passages(evaluation: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
+def matched_passages(evaluation: DataFrame, training: DataFrame, text: str = "text", anchor: str | None = None, anchors: str | None = None, rows_per_task: int = 200_000) -> DataFrame:
     """The distinct evaluation passages (column ``text``) that training texts hold.
 
-    Passages and texts are ``fenced`` fields, so a passage can stand only in a
-    text of equal content and both go to the shard their content names.  Each
-    shard builds one Aho-Corasick automaton from its passages and scans its
-    texts.  Both sides are made distinct first (combined before the shuffle),
-    so a field that a third of all rows share is one text in one shard.  Null
-    texts are left out; with an empty side there are no matches.
+    A passage stands in the shard of its ``anchor``, a part of it that every
+    text with the passage names among its ``anchors`` (an array); a text goes
+    to the shards of all its anchors, so no shard lacks a text that could match.
+    Without these columns passages and texts are whole ``fenced`` fields and
+    anchor themselves.  Each shard builds one Aho-Corasick automaton from its
+    passages and scans its texts.  Both sides are made distinct first (combined
+    before the shuffle).  Texts of an anchor that very many have, a folder of a
+    third of all files, are spread over shards by their content, and its
+    passages sent to each.  Null texts are left out; with an empty side there
+    are no matches.
     """
-    sides = evaluation.select(F.lit(0).alias("side"), F.col(text).alias("text")).unionByName(training.select(F.lit(1).alias("side"), F.col(text).alias("text")))
-    shards = sides.where(F.col("text").isNotNull()).distinct().repartition(2 * width(evaluation.sparkSession), "text").sortWithinPartitions("side")
-    return shards.mapInPandas(_scan, "text string")
+    one = evaluation.where(F.col(text).isNotNull()).select(F.col(anchor or text).alias("anchor"), F.col(text).alias("text")).distinct()
+    many = training.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), (F.col(anchors) if anchors else F.array(text)).alias("anchors")).dropDuplicates(["text"])
+    many = many.select(F.explode(F.array_distinct("anchors")).alias("anchor"), "text")
+    # at most the number of texts / rows_per_task anchors are hot
+    hot = many.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_task).select("anchor", F.ceil(F.col("n") / rows_per_task).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    a = one.join(hot, "anchor", "left").select(F.lit(0).alias("side"), "anchor", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "text")
+    b = many.join(hot, "anchor", "left").select(F.lit(1).alias("side"), "anchor", F.pmod(F.xxhash64("text"), salts).cast("int").alias("salt"), "text")
+    shards = a.unionByName(b).repartition(2 * width(evaluation.sparkSession), "anchor", "salt").sortWithinPartitions("side")
+    return shards.select("side", "text").mapInPandas(_scan, "text string").distinct()
 
 
 def covered_length(spans: Column) -> Column:

@@ -33,6 +33,25 @@ def test_passages(spark):
     assert [r.n for r in spans.select(covered_length(F.col("s")).alias("n")).collect()] == [8, 0]
 
 
+def test_partial_coverage(spark):
+    rows = [(1, "d", "r1", "a/b/x.npy", "train"), (2, "d", "r2", "A/c/x.npy", "test"), (3, "d", "r1", "q/b/y", "val"), (4, "d", None, "zz", "test"), (5, "d", "r5", None, "test"), (6, "d", "new", "a/b/x.npy", "test"), (7, "d", "r9", "x.npy/q", "test")]
+    m = spark.createDataFrame([(*x, 1) for x in rows], MANIFEST + ", steps int")
+    got = {r.id: (r.covered, r.n_chars) for r in cross_split.coverage(m).collect()}
+    # /a/ and /x.npy; r1 and /b/; nothing; nothing; the whole path; nothing, as a folder is no file
+    assert got == {2: (3 + 6, 2 + 10), 3: (2 + 3, 2 + 6), 4: (0, 3), 5: (0, 2), 6: (10, 13), 7: (0, 10)}
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 200_000])
+def test_anchored_passages_against_all_texts(spark, rows_per_task):
+    r = random.Random(2)
+    texts = ["/".join(["", *(r.choice("abcd") for _ in range(r.randint(1, 5))), ""]) for _ in range(60)]
+    passages = ["/".join(["", *(r.choice("abcdx") for _ in range(r.randint(1, 3))), ""]) for _ in range(60)]
+    e = spark.createDataFrame([(p, f"/{p.split('/')[1]}/") for p in passages], "text string, anchor string")
+    t = spark.createDataFrame([(x, [f"/{s}/" for s in x.split("/") if s]) for x in texts], "text string, anchors array<string>")
+    got = {x.text for x in matched_passages(e, t, anchor="anchor", anchors="anchors", rows_per_task=rows_per_task).collect()}
+    assert got == {p for p in passages if any(p in x for x in texts)} and 0 < len(got) < len(set(passages))
+
+
 def test_overlaps_against_all_pairs(spark):
     rng, r = np.random.default_rng(0), random.Random(0)
     rows = []

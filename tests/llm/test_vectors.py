@@ -135,3 +135,24 @@ def test_near_pairs_against_all_pairs(spark, hot):
 def test_table_count_follows_the_size():
     small, large = SignHashes().shape(1000), SignHashes().shape(10**8)
     assert small[0] < large[0] and (1 - (1 - np.arccos(0.99) / np.pi) ** large[0]) ** large[1] <= 3e-6
+
+
+def test_no_pair_at_the_threshold_is_lost_in_hot_buckets(spark):
+    rng = np.random.default_rng(21)
+    a = vectors.unit(rng.normal(size=(500, 768)).astype(np.float32)).astype(float)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = 0.9901 * a + np.sqrt(1 - 0.9901**2) * side
+    rows = [(i, f"o{i}", v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "vec_id bigint, owner string, features array<float>")
+    pairs, _ = near_pairs(df, "vec_id", "owner", "features", SignHashes(hot=1))
+    assert {(r.id_a, r.id_b) for r in pairs.collect()} == {(i, i + 500) for i in range(500)}
+
+
+def test_a_tight_family_in_one_bucket(spark):
+    rng = np.random.default_rng(22)
+    m = rng.normal(size=768) + 0.001 * rng.normal(size=(90, 768))
+    df = spark.createDataFrame([(i, f"o{i % 3}", v.astype(np.float32).tolist()) for i, v in enumerate(m)], "vec_id bigint, owner string, features array<float>")
+    pairs, _ = near_pairs(df, "vec_id", "owner", "features", SignHashes(hot=10))
+    assert {(r.id_a, r.id_b) for r in pairs.collect()} == {(a, b) for a in range(90) for b in range(a + 1, 90) if a % 3 != b % 3}
