@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..operators.joins import salted_join
+from ..session import cut, width
 from .vamana import ShardGraph, orthonormal
 from .vectors import matrix, pack, unit, unpack
 
@@ -27,26 +28,30 @@ from .vectors import matrix, pack, unit, unpack
 class GraphIndex:
     """Parameters of the index.
 
-    ``sample``: bound of the vectors the shard centres are fitted on; every
-    vector is indexed and searched.  ``shard_rows``: vectors wanted in a shard;
-    a shard that would hold more than twice as many is split at random, and a
-    query then searches all its parts.  ``visits``: shards a vector is searched
-    in.  ``margin``: how much less similar than the nearest centre another may
-    be to be visited.  ``width``: dimensions used to navigate.  ``degree``,
-    ``pool``, ``expand``, ``relax``: of the graph and its beam search;
-    ``build_pool`` and ``build_expand`` hold while it is built.
+    ``sample``: bound of the vectors the shard centres are fitted on, as many
+    numbers each as ``width``; every vector is indexed and searched.
+    ``per_centre``: sampled vectors a centre needs at least, so there are at most
+    ``sample / per_centre`` shards.  ``shard_rows``: vectors wanted in a shard; a
+    shard that would hold more than twice as many, as one that no centres can
+    part or, with the defaults, those of a collection beyond 30 million, is split
+    at random, and a query then searches all its parts.  ``visits``: shards a
+    vector is searched in.  ``margin``: how much less similar than the nearest
+    centre another may be to be visited.  ``width``: dimensions used to route
+    and navigate.  ``degree``, ``pool``, ``expand``, ``relax``: of the graph and
+    its beam search; ``build_pool`` and ``build_expand`` hold while it is built.
     ``copies_per_task``: exact copies of one vector that one task expands.
-    ``broadcast_ids``: ids that may be broadcast (8 bytes each).
+    ``broadcast_ids``: ids that may be broadcast (8 bytes each).  ``tasks``:
+    shuffle partitions that the shards are spread over at most.
     """
 
     dim: int = 768
     k: int = 5
-    sample: int = 8192
-    shard_rows: int = 4096
-    most_centres: int = 1024
+    sample: int = 65_536
+    per_centre: int = 8
+    shard_rows: int = 2048
     visits: int = 3
-    margin: float = 0.02
-    width: int = 96
+    margin: float = 0.03
+    width: int = 160
     degree: int = 32
     pool: int = 64
     expand: int = 20
@@ -55,39 +60,59 @@ class GraphIndex:
     relax: float = 1.05
     copies_per_task: int = 200_000
     broadcast_ids: int = 500_000
+    tasks: int = 20_000
     seed: int = 7
 
 
-def fit_centres(points: np.ndarray, wanted: int, seed: int, rounds: int = 8) -> np.ndarray:
+def _nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, 8_000_000 // len(centres))
+    return np.concatenate([(points[at : at + step] @ centres.T).argmax(1) for at in range(0, len(points), step)])
+
+
+def _k_means(points: np.ndarray, wanted: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
     """Spherical k-means centres of unit vectors."""
-    rng = np.random.default_rng(seed)
     wanted = max(1, min(wanted, len(points)))
     centres = points[rng.choice(len(points), wanted, replace=False)]
     for _ in range(rounds):
-        near = (points @ centres.T).argmax(1)
+        near = _nearest_centre(points, centres)
+        by = np.argsort(near, kind="stable")
+        ids, first = np.unique(near[by], return_index=True)
         total = np.zeros_like(centres)
-        np.add.at(total, near, points)
+        total[ids] = np.add.reduceat(points[by], first, axis=0)
         length = np.linalg.norm(total, axis=1, keepdims=True)
         centres = np.where(length > 1e-9, total / np.maximum(length, 1e-9), points[rng.choice(len(points), wanted)])
-    return np.ascontiguousarray(centres, dtype=np.float32)
+    return centres
+
+
+def fit_centres(points: np.ndarray, wanted: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means centres of unit vectors; many are fitted in two levels, within the cells of few."""
+    rng = np.random.default_rng(seed)
+    if wanted <= 128:
+        return np.ascontiguousarray(_k_means(points, wanted, rng, rounds), dtype=np.float32)
+    coarse = _k_means(points, round(wanted**0.5), rng, rounds)
+    cell = _nearest_centre(points, coarse)
+    fine = [_k_means(points[cell == c], round(wanted * n / len(points)), rng, rounds) for c, n in zip(*np.unique(cell, return_counts=True))]
+    return np.ascontiguousarray(np.concatenate(fine), dtype=np.float32)
+
 
+def _narrow(u: np.ndarray, index: GraphIndex) -> np.ndarray:
+    """Unit vectors in the dimensions used to route, as unit vectors."""
+    low = u @ orthonormal(index.dim, index.width, index.seed)
+    return low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-9)
 
-def _sample(df: DataFrame, id_col: str, features: str, rows: int, index: GraphIndex) -> np.ndarray:
-    share = min(1.0, index.sample / max(rows, 1))
-    picked = df.where(F.pmod(F.xxhash64(F.lit(index.seed), id_col), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else df
-    got = picked.select(features).limit(int(1.2 * index.sample)).toArrow()
-    _, m = matrix(got.column(features), index.dim)
-    return unit(m)
 
+_FIRST_PASS = "vec_id bigint, h1 bigint, h2 bigint, d1 bigint, d2 bigint, low binary"
 
-def _hashes(index: GraphIndex):
-    """Batches of ``(vec_id, features)`` to hashes of each usable vector and of its direction.
+
+def _first_pass(index: GraphIndex, share: float):
+    """Batches of ``(vec_id, features)`` to hashes of each usable vector and of its direction, and the sampled ones in few dimensions.
 
     The direction's hash is of 16 random projections in steps of 1e-5: it holds
     whatever the gain, bar one vector in about a thousand at the edge of a step.
     Vectors that agree in all 16 are within about 1e-5 of each other, so their
     cosine is 1 at six decimals; that two farther ones agree has chance 1e-30.
     """
+    limit = int(share * (1 << 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes = np.random.default_rng(index.seed).normal(size=(index.dim, 16))
@@ -99,54 +124,59 @@ def _hashes(index: GraphIndex):
             length = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
             steps = np.round((m.astype(np.float64) @ axes) / length[:, None] * 1e5).astype(np.int64)
             cols = [[xxhash.xxh3_64_intdigest(r, seed) for r in rows] for rows in (m, steps) for seed in (index.seed, index.seed + 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at))] + [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols], names=["vec_id", "h1", "h2", "d1", "d2"])
+            ids = batch.column(0).take(pa.array(at))
+            picked = np.array([xxhash.xxh3_64_intdigest(i.tobytes(), index.seed) & 0xFFFFFFFF for i in ids.to_numpy().astype("<i8")]) < limit
+            low = np.full(len(at), None, object)
+            low[picked] = [r.tobytes() for r in _narrow(unit(m[picked]), index).astype("<f4")]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols], pa.array(low.tolist(), pa.binary())], names=["vec_id", "h1", "h2", "d1", "d2", "low"])
 
     return run
 
 
-def _copies(df: DataFrame, id_col: str, features: str, index: GraphIndex) -> DataFrame:
+def _copies(hashed: DataFrame, index: GraphIndex) -> DataFrame:
     """``(vec_id, rep, n)`` of the usable vectors that have copies; ``rep`` is the smallest id of the ``n``.
 
     Copies are equal vectors, and vectors of equal direction where these are more than ``k``.
     """
-    hashed = df.select(F.col(id_col).alias("vec_id"), features).mapInArrow(_hashes(index), "vec_id bigint, h1 bigint, h2 bigint, d1 bigint, d2 bigint")
-    hashed = cut(hashed)
     aligned = hashed.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > index.k)
     equal = hashed.join(aligned, ["d1", "d2"], "left_anti")
     classes = equal.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return hashed.join(aligned, ["d1", "d2"]).select("vec_id", "rep", "n").unionByName(equal.join(classes, ["h1", "h2"]).select("vec_id", "rep", "n"))
+    return salted_join(hashed, aligned, ["d1", "d2"]).select("vec_id", "rep", "n").unionByName(salted_join(equal, classes, ["h1", "h2"]).select("vec_id", "rep", "n"))
 
 
 def _route(index: GraphIndex, centres: np.ndarray, parts: np.ndarray):
     """Batches of ``(vec_id, features)`` to rows for the shards: one at home, the others as visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, m = matrix(batch.column(1), index.dim)
-            if not len(at):
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
-            near = unit(m) @ centres.T
-            visits = min(index.visits, len(centres))
-            order = np.argpartition(-near, visits - 1, axis=1)[:, :visits]
-            score = np.take_along_axis(near, order, 1)
-            by = np.argsort(-score, axis=1, kind="stable")
-            order, score = np.take_along_axis(order, by, 1), np.take_along_axis(score, by, 1)
-            packed = np.array(pack(m), dtype=object)
-            home_part = (ids * 2654435761 % 4294967291) % parts[order[:, 0]]
-            cols: list[list] = [[], [], [], [], []]
-            for v in range(visits):
-                goes = score[:, v] >= score[:, 0] - index.margin
-                for part in range(int(parts[order[goes, v]].max(initial=0))):
-                    rows = np.nonzero(goes & (part < parts[order[:, v]]))[0]
-                    home = np.full(len(rows), v == 0) & (home_part[rows] == part)
-                    for c, x in zip(cols, (order[rows, v], np.full(len(rows), part), home, ids[rows], packed[rows])):
-                        c.append(x)
-            shard, part, home, vec, data = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(home, pa.bool_()), pa.array(vec, pa.int64()), pa.array(list(data), pa.binary())],
-                names=["shard", "part", "home", "vec_id", "data"],
-            )
+        step = max(64, min(4096, 8_000_000 // len(centres)))
+        visits = min(index.visits, len(centres))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                at, m = matrix(batch.column(1), index.dim)
+                if not len(at):
+                    continue
+                ids = batch.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
+                near = _narrow(unit(m), index) @ centres.T
+                order = np.argpartition(-near, visits - 1, axis=1)[:, :visits]
+                score = np.take_along_axis(near, order, 1)
+                by = np.argsort(-score, axis=1, kind="stable")
+                order, score = np.take_along_axis(order, by, 1), np.take_along_axis(score, by, 1)
+                packed = np.array(pack(m), dtype=object)
+                home_part = (ids * 2654435761 % 4294967291) % parts[order[:, 0]]
+                cols: list[list] = [[], [], [], [], []]
+                for v in range(visits):
+                    goes = score[:, v] >= score[:, 0] - index.margin
+                    for part in range(int(parts[order[goes, v]].max(initial=0))):
+                        rows = np.nonzero(goes & (part < parts[order[:, v]]))[0]
+                        home = np.full(len(rows), v == 0) & (home_part[rows] == part)
+                        for c, x in zip(cols, (order[rows, v], np.full(len(rows), part), home, ids[rows], packed[rows])):
+                            c.append(x)
+                shard, part, home, vec, data = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(home, pa.bool_()), pa.array(vec, pa.int64()), pa.array(list(data), pa.binary())],
+                    names=["shard", "part", "home", "vec_id", "data"],
+                )
 
     return run
 
@@ -224,20 +254,26 @@ def nearest(df: DataFrame, id_col: str = "vec_id", features: str = "features", i
     """
     spark, k = df.sparkSession, index.k
     df = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(features).alias("features"))
-    rows = df.count()
-    sample = _sample(df, "vec_id", "features", rows, index)
-    if not len(sample):
+    rows = df.count()  # of the files' metadata
+    hashed = cut(df.mapInArrow(_first_pass(index, min(1.0, index.sample / max(rows, 1))), _FIRST_PASS))
+    drawn = hashed.where(F.col("low").isNotNull()).select("low").limit(int(1.2 * index.sample)).toArrow().column("low").to_pylist()
+    if not drawn:
         return spark.createDataFrame([], "vec_id bigint, rank int, other_id bigint, cosine double")
-    centres = fit_centres(sample, min(index.most_centres, -(-rows // index.shard_rows)), index.seed)
-    share = np.bincount((sample @ centres.T).argmax(1), minlength=len(centres)) / len(sample)
+    sample = np.frombuffer(b"".join(drawn), "<f4").reshape(len(drawn), -1)
+    wanted = min(-(-rows // index.shard_rows), max(1, len(sample) // index.per_centre))
+    centres = fit_centres(sample, wanted, index.seed)
+    share = np.bincount(_nearest_centre(sample, centres), minlength=len(centres)) / len(sample)
     parts = np.maximum(1, np.ceil(share * rows / (2 * index.shard_rows))).astype(np.int64)
 
-    copies = cut(_copies(df, "vec_id", "features", index))
+    copies = cut(_copies(hashed.drop("low"), index))
     extra = copies.where(F.col("vec_id") != F.col("rep")).select("vec_id")
     # the ids that stay out go to every task only if few; else both sides are shuffled by id
     few_extra = extra.count() <= index.broadcast_ids
     routed = df.mapInArrow(_route(index, centres, parts), "shard int, part int, home boolean, vec_id bigint, data binary")
-    found = routed.join(F.broadcast(extra) if few_extra else extra, "vec_id", "left_anti").groupBy("shard", "part").applyInArrow(_search_shard(index), "vec_id bigint, other_id bigint, cosine double")
+    routed = routed.join(F.broadcast(extra) if few_extra else extra, "vec_id", "left_anti")
+    # a task per shard or so, however many shards there are
+    shards = routed.repartition(int(min(index.tasks, max(width(spark), 2 * parts.sum()))), "shard", "part")
+    found = shards.groupBy("shard", "part").applyInArrow(_search_shard(index), "vec_id bigint, other_id bigint, cosine double")
 
     # copies: each class stands for its k + 1 smallest ids
     few = copies.withColumn("no", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("no") <= k + 1).select("rep", F.col("vec_id").alias("copy_id"))

@@ -6,7 +6,7 @@ import pytest
 
 from heartlake.llm import vectors
 from heartlake.llm.near_vectors import SignHashes, near_pairs
-from heartlake.llm.neighbours import GraphIndex, nearest, neighbour_pairs
+from heartlake.llm.neighbours import GraphIndex, fit_centres, nearest, neighbour_pairs
 from heartlake.llm.vamana import ShardGraph, orthonormal
 
 SCHEMA = "vec_id bigint, features array<float>"
@@ -57,7 +57,7 @@ def test_graph_recall_and_degree():
     assert ShardGraph(m[:1]).search(m[:1])[0][0][0] == 0 and len(ShardGraph(m[:2]).search(m[:2])[0]) == 2
 
 
-@pytest.mark.parametrize("index", [GraphIndex(dim=48, shard_rows=200, width=32), GraphIndex(dim=48, shard_rows=60, most_centres=3, width=48)])
+@pytest.mark.parametrize("index", [GraphIndex(dim=48, shard_rows=200, width=32), GraphIndex(dim=48, shard_rows=60, per_centre=400, width=48)])
 def test_recall_against_brute_force(spark, index):
     m = families(2, 1200, 48)
     ids = [10 * i + 3 for i in range(len(m))]
@@ -70,6 +70,26 @@ def test_recall_against_brute_force(spark, index):
     assert sum(hits) / (5 * len(ids)) >= 0.9
 
 
+def test_recall_in_a_skewed_family(spark):
+    rng = np.random.default_rng(31)
+    hub = rng.normal(size=64)
+    m = np.concatenate([hub + 0.2 * rng.normal(size=(900, 64)), rng.normal(size=(1500, 64)), 0.6 * hub + rng.normal(size=(300, 64))])
+    ids = list(range(len(m)))
+    got = {}
+    for r in nearest(table(spark, zip(ids, m)), index=GraphIndex(dim=64, shard_rows=300, width=64)).collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    want = exact(ids, m, 5)
+    hits = [len({o for o, _ in want[i]} & got[i]) / 5 for i in range(900)]
+    assert np.mean(hits) >= 0.95
+
+
+def test_many_centres_are_fitted_in_two_levels():
+    m = vectors.unit(np.random.default_rng(3).normal(size=(6000, 16)).astype(np.float32))
+    c = fit_centres(m, 400, 1)
+    assert 380 <= len(c) <= 420 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-4)
+    assert np.bincount((m @ c.T).argmax(1), minlength=len(c)).max() < 90
+
+
 def test_copies_ties_and_unusable(spark):
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=8).round(2), rng.normal(size=8).round(2)
