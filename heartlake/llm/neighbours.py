@@ -256,7 +256,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", features: str = "features", i
     df = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(features).alias("features"))
     rows = df.count()  # of the files' metadata
     hashed = cut(df.mapInArrow(_first_pass(index, min(1.0, index.sample / max(rows, 1))), _FIRST_PASS))
-    drawn = hashed.where(F.col("low").isNotNull()).select("low").limit(int(1.2 * index.sample)).toArrow().column("low").to_pylist()
+    drawn = hashed.where(F.col("low").isNotNull()).select("low").toArrow().column("low").to_pylist()
     if not drawn:
         return spark.createDataFrame([], "vec_id bigint, rank int, other_id bigint, cosine double")
     sample = np.frombuffer(b"".join(drawn), "<f4").reshape(len(drawn), -1)
