@@ -87,6 +87,13 @@ def p1_signal_flags(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "signal_index").select("index_id", "file", "has_nan", "is_flatline").join(per, "file").select("index_id", "file", "has_nan", "is_flatline", "has_impossible", "has_stuck", "has_spike")
 
 
+@catalog.query("p1_off_profile")
+def p1_off_profile(spark: SparkSession, root: str) -> DataFrame:
+    """Readings that stick out of what is usual at their place in their device's profiles, with how far."""
+    found = implausible.off_profile(implausible.readings(table(spark, root, "lead_readings")))
+    return found.select("reading_id", "device", *[F.round(c, 4).alias(c) for c in ("z", "usual", "residual")])
+
+
 @catalog.query("p6_found")
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """One row per label code of each raw label field, with its position."""

@@ -14,7 +14,7 @@ def order_bucket(value: Column, per_octave: int) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, size + 1).otherwise(-size - 1)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], per_octave: int = 16) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], per_octave: int = 512) -> DataFrame:
     """Linear-interpolated quantiles (``numpy.quantile``'s default) of each group.
 
     Equal values are counted together before the first shuffle.  A histogram

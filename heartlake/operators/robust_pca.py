@@ -8,12 +8,9 @@ spikes can't be taken for normal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def separate(matrix: np.ndarray, known: np.ndarray, box: float, iterations: int = 12) -> np.ndarray:
@@ -43,36 +40,33 @@ def separate(matrix: np.ndarray, known: np.ndarray, box: float, iterations: int
     return low
 
 
-def sparse_part(df: DataFrame, source: str, row: str, column: str, value: str, columns: int, box: float, least: float, block_rows: int = 256) -> DataFrame:
-    """The rows of ``df`` whose ``value`` sticks out of the low-rank part.
-
-    ``df`` must be partitioned and sorted so that the cells of one profile row
-    (``source``, ``row``) follow one another; ``column`` is 0 to ``columns`` - 1
-    and ``value`` the finite deviation from the source's median in units of its
-    spread.  Rows with ``|value - low-rank part| > least`` come back, with all
-    their columns.  As the low-rank part stays in the box, every value beyond
-    ``box + least`` is among them, whatever the block holds.
+def with_residuals(df: DataFrame, source: str, block: str, row: str, column: str, value: str, columns: int, box: float) -> DataFrame:
+    """The rows of ``df`` with ``usual``, the low-rank part of their ``value``, and ``residual``, what is left of it.
 
-    Blocks are cut from the stream of rows, at most ``block_rows`` profile rows
-    each, so memory doesn't grow with a source's share of the data.
+    Each block, the rows of one ``source`` and ``block`` number, is a matrix of
+    profile rows (``row``) and ``column``s 0 to ``columns`` - 1; ``value`` is the
+    deviation from the source's median in units of its spread.  The caller
+    numbers blocks so that each fits a task.  A place that several rows claim
+    holds the first by value; each row has the residual of its own value.  Rows
+    without a finite value have nulls and stand in no matrix.
     """
     names = df.columns
+    fields = [f.name + " " + f.dataType.simpleString() for f in df.schema.fields]
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, part in batch.groupby(source, sort=False):
-                ids, firsts = pd.factorize(part[row])
-                col, val = part[column].to_numpy(), part[value].to_numpy(dtype=float)
-                keep = np.zeros(len(part), dtype=bool)
-                for at in range(0, len(firsts), block_rows):
-                    here = np.nonzero((ids >= at) & (ids < at + block_rows))[0]
-                    shape = (min(block_rows, len(firsts) - at), columns)
-                    m, known = np.zeros(shape), np.zeros(shape, dtype=bool)
-                    m[ids[here] - at, col[here]] = val[here]
-                    known[ids[here] - at, col[here]] = True
-                    low = separate(m, known, box)
-                    keep[here] = np.abs(val[here] - low[ids[here] - at, col[here]]) > least
-                if keep.any():
-                    yield part.loc[keep, names]
+    def residuals(part: pd.DataFrame) -> pd.DataFrame:
+        val = part[value].to_numpy(dtype=float)
+        fine = np.isfinite(val)
+        usual = np.full(len(part), np.nan)
+        if fine.any():
+            ids, firsts = pd.factorize(part[row].to_numpy()[fine])
+            col, known_val = part[column].to_numpy()[fine].astype(int), val[fine]
+            m, known = np.zeros((len(firsts), columns)), np.zeros((len(firsts), columns), dtype=bool)
+            order = np.argsort(-known_val, kind="stable")  # the smallest value is written last
+            m[ids[order], col[order]] = known_val[order]
+            known[ids, col] = True
+            usual[fine] = separate(m, known, box)[ids, col]
+        out = part[names].copy()
+        out["usual"], out["residual"] = usual, val - usual
+        return out
 
-    return df.where(F.col(source).isNotNull()).mapInPandas(blocks, df.schema)
+    return df.groupBy(source, block).applyInPandas(residuals, ", ".join([*fields, "usual double", "residual double"]))

@@ -1,4 +1,7 @@
 import inspect
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -30,3 +33,10 @@ def test_entry_points(spark):
     assert set(catalog.queries) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.entry(spark).columns) == 6
+
+
+def test_entry_points_without_a_dependency_of_the_subpackage():
+    """In a process of its own: with a library missing that only the subpackage needs, the core queries stay."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; from heartlake.catalog.core import catalog as c; assert set(e.queries()) == set(c.queries) and set(e.oracle_sql()) == set(c.sql)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from heartlake.operators.implausible import SpikeRule, implausible_readings, readings, stuck_runs
+from heartlake.operators.implausible import SpikeRule, implausible_readings, impossible_or_spike, off_profile, profiled, readings, stuck, stuck_runs
 from heartlake.operators.quantiles import exact_quantiles
 from heartlake.operators.robust_pca import separate
 
@@ -117,6 +117,38 @@ def test_low_rank_part_stays_in_its_box():
     assert np.abs(separate(m, np.ones(m.shape, bool), 4.0) - np.clip(m, -4, 4)).mean() < 0.5
 
 
+def profile_rows(odd=()):
+    """A device whose level swings widely with the second, and readings at the level of another second."""
+    level = lambda k: 10 + 3 * math.sin(2 * math.pi * k / 64)
+    r = random.Random(5)
+    return [(f * 64 + k, f"f{f}", "d", "I", k, (level(k + 32) if f * 64 + k in odd else level(k)) + r.gauss(0, 0.02) if k else 10.0, "mV") for f in range(120) for k in range(64)]
+
+
+def test_readings_off_the_profile_but_within_range(spark):
+    odd = {64 * f + 16 + f % 3 for f in range(5, 100, 9)}
+    read = readings(spark.createDataFrame(profile_rows(odd), SCHEMA))
+    rule = SpikeRule(least=1.5, box=4.0, spreads=10.0)
+    assert {x.reading_id for x in off_profile(read, rule).collect()} == odd
+    # range alone finds none of them
+    assert impossible_or_spike(read, rule).count() == 0
+    z = {x.reading_id: abs(x.z) for x in profiled(read, rule).collect()}
+    assert max(z[i] for i in odd) < 2
+
+
+def test_blocks_hold_one_device_each(spark, monkeypatch):
+    rows = [(d * 5000 + i, f"f{i // 100}", f"d{d}", "I", i % 100, 5.0 * (d + 1) + random.Random(i).gauss(0, 0.1), "mV") for d in range(3) for i in range(4000)]
+    read = readings(spark.createDataFrame(rows, SCHEMA))
+    a = {x.reading_id: round(x.usual, 3) for x in profiled(read, SpikeRule(block_rows=16)).collect()}
+    b = {x.reading_id: round(x.usual, 3) for x in profiled(read.repartition(7), SpikeRule(block_rows=16)).collect()}
+    assert a == b and len(a) == 12_000  # however the rows are laid out
+
+
+def test_long_runs_and_readings_without_a_file(spark):
+    rows = [(k, "f", "d", "I", k, 2.0, "mV") for k in range(3000)] + [(5000 + k, None, "d", "I", k, 2.0, "mV") for k in range(30)]
+    read = readings(spark.createDataFrame(rows, SCHEMA))
+    assert {x.reading_id for x in stuck(read, SpikeRule(chunk=64)).collect()} == set(range(3000))
+
+
 def test_rule_must_leave_room():
     with pytest.raises(ValueError):
         SpikeRule(box=6, least=5)
