@@ -11,10 +11,11 @@ from ..functions.listings import number_in, same_file, split_name
 from ..functions.names import LABELS, canonical_dataset, slug
 from ..functions.packed import explode_packed
 from ..operators.dedup import conflicting, exact_copies, keep_first
+from ..operators.metrics import prevalence
 from ..plans import eligibility, manifest, stratify
 from ..plans.labels import labels_from_diagnoses, text_labels
 from ..plans.shifts import histogram, null_threshold
-from ..session import table
+from ..session import cut, table
 from . import Catalog
 from .base import _ALIAS, RECORDS, r6, records, rounded
 
@@ -287,6 +288,10 @@ def _usable(spark: SparkSession, root: str) -> DataFrame:
     return records(spark, root).withColumn("subject", F.coalesce(number_in(F.col("subject_id")), F.col("record_id")))
 
 
+_SUBJECTS = f"{RECORDS}, usable AS (SELECT *, coalesce(nullif(ltrim(regexp_extract(subject_id, '([0-9]+)', 1), '0'), ''), record_id) AS subject FROM records)"
+_PARTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
 @catalog.query("stratified_splits")
 def stratified_splits(spark: SparkSession, root: str) -> DataFrame:
     """Whole subjects in 80/10/10 with the label shares of all."""
@@ -295,7 +300,7 @@ def stratified_splits(spark: SparkSession, root: str) -> DataFrame:
 
 @catalog.query("stratified_subset")
 def stratified_subset(spark: SparkSession, root: str) -> DataFrame:
-    """About a third of the records, whole subjects."""
+    """A third of the records, whole subjects."""
     rows = _usable(spark, root)
     return stratify.select_subset(rows, "subject", max(1, rows.count() // 3)).select("record_id", "subject", *LABELS)
 
@@ -313,3 +318,41 @@ def repaired_subset(spark: SparkSession, root: str) -> DataFrame:
     subset = stratify.assign_splits(stratify.select_subset(rows, "subject", max(1, rows.count() // 3)), "subject")
     failed = table(spark, root, "signal_index").where(~F.coalesce("shape_ok", F.lit(True))).select(F.col("ecg_id").alias("record_id")).distinct()
     return stratify.repair(subset.select("record_id", "subject", *LABELS, "split"), rows, failed, "subject", "record_id")
+
+
+@catalog.query(
+    "split_errors",
+    f"""WITH {_SUBJECTS}, s AS (SELECT count(*) AS n FROM usable), want AS (SELECT unnest(['train', 'validation', 'test']) AS split, unnest([0.8, 0.1, 0.1]) AS share)
+SELECT split, label, true AS size_met, true AS share_met, true AS whole_subjects FROM want, (SELECT unnest({list(LABELS)}) AS label), s""",
+)
+def split_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Whether each split has its size to the record, each label its share to a tenth of a point or two records, and each subject one split."""
+    out = cut(stratify.assign_splits(_usable(spark, root), "subject"))
+    errors = stratify.partition_errors(out, "split", _PARTS)
+    torn = out.groupBy("subject").agg((F.min("split") < F.max("split")).alias("torn")).agg(F.coalesce(F.max("torn"), F.lit(False)).alias("torn"))
+    return errors.join(F.broadcast(torn)).select(
+        "split", "label", (F.abs(F.col("records") - F.col("wanted")) <= 1).alias("size_met"), ((F.col("error") <= 0.001) | (F.col("error") * F.col("records") <= 2)).alias("share_met"), (~F.col("torn")).alias("whole_subjects")
+    )
+
+
+@catalog.query("subset_errors", f"WITH {_SUBJECTS} SELECT label, CAST(greatest(1, count(*) // 3) AS BIGINT) AS records, true AS share_met FROM usable, (SELECT unnest({list(LABELS)}) AS label) GROUP BY label")
+def subset_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Records of the subset, and whether each label's share is that of all to a tenth of a point or two records."""
+    rows = _usable(spark, root)
+    sub = stratify.select_subset(rows, "subject", max(1, rows.count() // 3)).withColumn("part", F.lit("in"))
+    both = sub.select("part", *LABELS).unionByName(rows.select(F.lit("all").alias("part"), *LABELS))
+    per = prevalence(both, ["part"], LABELS).groupBy("label").agg(F.max(F.when(F.col("part") == "in", F.col("rows"))).alias("records"), (F.max("prevalence") - F.min("prevalence")).alias("error"))
+    return per.select("label", "records", ((F.col("error") <= 0.001) | (F.col("error") * F.col("records") <= 2)).alias("share_met"))
+
+
+@catalog.query("repair_sizes", f"WITH {_SUBJECTS} SELECT CAST(greatest(1, count(*) // 3) AS BIGINT) AS records, CAST(0 AS BIGINT) AS failed_left, true AS sizes_kept FROM usable")
+def repair_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """The repaired subset's records, failed ones among them, and whether every split kept its size."""
+    rows = _usable(spark, root).select("record_id", "subject", *LABELS)
+    subset = cut(stratify.assign_splits(stratify.select_subset(rows, "subject", max(1, rows.count() // 3)), "subject"))
+    failed = table(spark, root, "signal_index").where(~F.coalesce("shape_ok", F.lit(True))).select(F.col("ecg_id").alias("record_id")).distinct()
+    out = cut(stratify.repair(subset.select("record_id", "subject", *LABELS, "split"), rows, failed, "subject", "record_id"))
+    before, after = (x.groupBy("split").agg(F.count(F.lit(1)).alias(n)) for x, n in ((subset, "a"), (out, "b")))
+    kept = before.join(after, "split", "full").agg(F.min(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("sizes_kept"))
+    left = out.join(failed, "record_id", "left_semi").agg(F.count(F.lit(1)).alias("failed_left"))
+    return out.agg(F.count(F.lit(1)).alias("records")).join(F.broadcast(left)).join(F.broadcast(kept))

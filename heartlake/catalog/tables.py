@@ -12,7 +12,7 @@ from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import first_per_key, rank_average, rank_min, sample_rows, share_of_total, top_per_group
 from ..operators.reshape import drop_empty_rows, union_by_name, with_columns_of
 from ..plans import overlap
-from ..session import table
+from ..session import cut, table
 from ..sources.tables import row_slice
 from . import Catalog
 from .base import r6, rounded
@@ -193,19 +193,51 @@ def exact_window_matches(spark: SparkSession, root: str) -> DataFrame:
     return s.join(t, "exact_hash").groupBy("source_record_id", "target_record_id").agg(F.count(F.lit(1)).alias("windows"))
 
 
-_MATCHED = _HASH + """, m AS (SELECT DISTINCT t.dataset AS target_dataset, s.dataset AS source_dataset, t.record_id FROM w s JOIN w t USING (exact_hash) WHERE s.part = 'train' AND t.part = 'test'),
-a AS (SELECT dataset AS target_dataset, count(DISTINCT record_id) AS audited FROM w WHERE part = 'test' GROUP BY dataset)"""
-
-
-@catalog.query("overlap_removal_summary", f"{_MATCHED} SELECT source_dataset, target_dataset, count(DISTINCT record_id) AS exact_removed, CAST(0 AS BIGINT) AS near_removed, count(DISTINCT record_id) AS removed, max(audited) AS audited, {r6('count(DISTINCT record_id) / max(audited)')} AS fraction FROM m JOIN a USING (target_dataset) GROUP BY ALL")
+_MATCHED = _HASH + """, m AS (SELECT DISTINCT t.dataset AS target_dataset, s.dataset AS source_dataset, t.record_id FROM w s JOIN w t USING (exact_hash) WHERE s.part = 'train' AND t.part = 'test')"""
+
+#: The whole audit: exact and near candidates, verified on fingerprints of 12 leads in 64 steps, the best match of each test record.
+_AUDIT = """WITH w AS (
+  SELECT vec_id, dataset, record_id, window_index, exact_hash, CASE WHEN lower(trim(split, E' \\t\\r\\n')) IN ('train', 'training') THEN 'train' WHEN lower(trim(split, E' \\t\\r\\n')) IN ('test', 'testing') THEN 'test' END AS part,
+         CASE WHEN len(features) = 768 AND len(list_filter(features, lambda x: isfinite(x))) = 768 AND len(list_filter(features, lambda x: x <> 0)) > 0 THEN CAST(features AS DOUBLE[]) END AS f
+  FROM fingerprint_cache WHERE record_id IS NOT NULL),
+s AS (SELECT * FROM w WHERE part = 'train'), t AS (SELECT * FROM w WHERE part = 'test'),
+cosines AS (
+  SELECT t.vec_id AS tid, s.vec_id AS sid, round(list_dot_product(s.f, t.f) / sqrt(list_dot_product(s.f, s.f) * list_dot_product(t.f, t.f)), 9) AS cosine
+  FROM t JOIN s ON s.f IS NOT NULL AND t.f IS NOT NULL AND s.vec_id <> t.vec_id),
+near AS (SELECT tid, sid FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY cosine DESC, sid) AS no FROM cosines WHERE cosine >= 0.97) WHERE no <= 5),
+c AS (
+  SELECT tid, sid, max(exact) AS exact FROM (SELECT tid, sid, 0 AS exact FROM near UNION ALL SELECT t.vec_id, s.vec_id, 1 FROM s JOIN t USING (exact_hash)) GROUP BY ALL),
+leads AS (
+  SELECT tid, sid, exact, lead, list_slice(s.f, 64 * lead + 1, 64 * lead + 64) AS x, list_slice(t.f, 64 * lead + 1, 64 * lead + 64) AS y
+  FROM c JOIN s ON s.vec_id = sid JOIN t ON t.vec_id = tid, range(0, 12) r(lead)),
+centred AS (SELECT tid, sid, exact, lead, list_transform(x, lambda v: v - list_avg(x)) AS x, list_transform(y, lambda v: v - list_avg(y)) AS y FROM leads),
+corr AS (
+  SELECT tid, sid, exact, CASE WHEN sqrt(list_dot_product(x, x) * list_dot_product(y, y)) > 1e-12 THEN least(list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)), 1.0) END AS r FROM centred),
+v AS (SELECT tid, sid, exact, round(median(r), 9) AS corr, round(median(sqrt(2 - 2 * r)), 9) AS nrmse FROM corr GROUP BY ALL),
+kept AS (
+  SELECT v.*, s.dataset AS source_dataset, t.dataset AS target_dataset, s.record_id AS source_record_id, t.record_id AS target_record_id,
+         row_number() OVER (PARTITION BY t.record_id ORDER BY exact DESC, corr DESC NULLS LAST, nrmse ASC NULLS LAST, s.record_id, s.window_index, t.window_index, sid, tid) AS no
+  FROM v JOIN s ON s.vec_id = sid JOIN t ON t.vec_id = tid WHERE exact = 1 OR (corr >= 0.995 AND nrmse <= 0.15)),
+best AS (SELECT *, CASE WHEN exact = 1 THEN 'exact' ELSE 'near' END AS match_type FROM kept WHERE no = 1)"""
+
+
+def _windows(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "fingerprint_cache").select(F.col("vec_id").alias("window_id"), "dataset", "record_id", "window_index", split_name(F.col("split")).alias("part"), "exact_hash", "features")
+
+
+@catalog.query("audit_matches", f"{_AUDIT} SELECT target_record_id, source_record_id, match_type, {r6('corr')} AS median_correlation FROM best")
+def audit_matches(spark: SparkSession, root: str) -> DataFrame:
+    """The best train match of each test record that has one, exact or near."""
+    return rounded(overlap.audit(_windows(spark, root), "part").select("target_record_id", "source_record_id", "match_type", "median_correlation"))
+
+
+@catalog.query("overlap_removal_summary", f"""{_AUDIT}, a AS (SELECT dataset AS target_dataset, count(DISTINCT record_id) AS audited FROM t GROUP BY dataset)
+SELECT source_dataset, target_dataset, count(DISTINCT target_record_id) FILTER (match_type = 'exact') AS exact_removed, count(DISTINCT target_record_id) FILTER (match_type = 'near') AS near_removed,
+  count(DISTINCT target_record_id) AS removed, max(audited) AS audited, {r6('count(DISTINCT target_record_id) / max(audited)')} AS fraction FROM best JOIN a USING (target_dataset) GROUP BY ALL""")
 def overlap_removal_summary(spark: SparkSession, root: str) -> DataFrame:
-    """Test records that exact matches would remove, per pair of datasets."""
-    part = F.lower(F.trim("split"))
-    w = table(spark, root, "fingerprint_cache").where(F.col("exact_hash").isNotNull()).select("dataset", "record_id", part.alias("part"), "exact_hash")
-    s = w.where(F.col("part") == "train").select("exact_hash", F.col("dataset").alias("source_dataset"))
-    t = w.where(F.col("part") == "test").select("exact_hash", F.col("dataset").alias("target_dataset"), F.col("record_id").alias("target_record_id"))
-    matches = s.join(t, "exact_hash").select("source_dataset", "target_dataset", "target_record_id").distinct().withColumn("match_type", F.lit("exact"))
-    return rounded(overlap.removal_summary(matches, w.where(F.col("part") == "test")))
+    """Test records that exact and near matches would remove, per pair of datasets."""
+    w = cut(_windows(spark, root))
+    return rounded(overlap.removal_summary(overlap.audit(w, "part"), w.where((F.col("part") == "test") & F.col("record_id").isNotNull())))
 
 
 @catalog.query("filtered_listing", f"{_MATCHED} SELECT split, count(*) AS rows FROM week2_manifest x WHERE NOT (split = 'test' AND EXISTS (SELECT 1 FROM m WHERE m.record_id = x.record_id)) OR split IS NULL GROUP BY split")

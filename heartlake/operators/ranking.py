@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def rank_min(group: Sequence[str], value: Column, descending: bool = True) -> Column:
     """Ranks from 1 within a group; equals share the smallest."""
@@ -65,3 +67,16 @@ def place_by_hash(df: DataFrame, group: Sequence[str], key: str, seed: int = 42,
         cond = cond & s
     placed = hashed.withColumn("__r", F.row_number().over(inside)).alias("a").join(sizes.alias("b"), cond)
     return placed.select(*[F.col(f"a.{c}").alias(c) for c in df.columns], (F.col("a.__r") + F.col("b.__before")).alias(place))
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the sum of ``value`` in all rows before in a total order.
+
+    Sums run within range partitions; the partitions' own sums are the only
+    small table, so no task sorts all rows.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    own = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy("__p").agg(F.sum(value).alias("__s"))
+    parts = parts.select("__p", (F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).alias("__before"))
+    return placed.withColumn(out, F.sum(value).over(own) - F.col(value)).join(F.broadcast(parts), "__p").withColumn(out, F.col(out) + F.col("__before")).drop("__p", "__before")

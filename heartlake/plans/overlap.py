@@ -1,8 +1,9 @@
 """Audit of overlaps between datasets: exact and near-equal windows, and their removal.
 
 Exact matches join on the window hash.  Near ones are proposed by the cosine
-of fingerprints: the ``k`` nearest source windows of each target window, found
-block against block with NumPy, never as a product of single rows.
+of fingerprints: the ``k`` nearest source windows of each target window at or
+above a cosine, found by random signs and verified exactly.  For a stated query
+set there is an exact search too, block against block with NumPy.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.listings import split_name
-from ..operators.ranking import first_per_key
+from ..operators.joins import salted_join
+from ..operators.ranking import first_per_key, top_per_group
+from ..operators.vector_join import near_join
 
 
 @dataclass(frozen=True)
@@ -85,16 +89,72 @@ def cosine_top_k(queries: DataFrame, base: DataFrame, key: str, vector: str, k:
 def candidates(source: DataFrame, target: DataFrame, rule: AuditThresholds = AuditThresholds()) -> DataFrame:
     """``source_id, target_id, candidate_cosine, exact`` of window tables with ``window_id, exact_hash, features``."""
     s, t = source.where(F.col("exact_hash").isNotNull()), target.where(F.col("exact_hash").isNotNull())
-    exact = s.select("exact_hash", F.col("window_id").alias("source_id")).join(t.select("exact_hash", F.col("window_id").alias("target_id")), "exact_hash").select("source_id", "target_id", F.lit(1.0).alias("candidate_cosine"), F.lit(True).alias("exact"))
-    near = cosine_top_k(target, source, "window_id", "features", rule.k, rule.candidate_cosine).select(F.col("base_id").alias("source_id"), F.col("query_id").alias("target_id"), F.col("cosine").alias("candidate_cosine"), F.lit(False).alias("exact"))
+    same = salted_join(s.select("exact_hash", F.col("window_id").alias("source_id")), t.select("exact_hash", F.col("window_id").alias("target_id")), ["exact_hash"])
+    exact = same.select("source_id", "target_id", F.lit(1.0).alias("candidate_cosine"), F.lit(True).alias("exact"))
+    found = near_join(target, source, "window_id", "features", rule.candidate_cosine)
+    near = top_per_group(found, ["left_id"], [F.col("cosine").desc(), F.col("right_id")], rule.k)
+    near = near.select(F.col("right_id").alias("source_id"), F.col("left_id").alias("target_id"), F.col("cosine").alias("candidate_cosine"), F.lit(False).alias("exact"))
     return exact.unionByName(near).groupBy("source_id", "target_id").agg(F.max("candidate_cosine").alias("candidate_cosine"), F.max("exact").alias("exact"))
 
 
+def verified_by_features(pairs: DataFrame, leads: int = 12) -> DataFrame:
+    """``pairs`` (with ``left`` and ``right`` fingerprints) plus ``median_correlation, median_nrmse``, to nine decimals.
+
+    For tables that hold fingerprints but no waveforms: a fingerprint is a
+    window's leads in coarse steps, and leads are compared as in a window, at
+    lag 0.  Leads that don't move on both sides are left out; without any, and
+    for fingerprints that differ in length or aren't finite, both are null.
+    """
+    keep = [c for c in pairs.columns if c not in ("left", "right")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            correlation, error = [], []
+            for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                c = e = None
+                if a and b and len(a) == len(b) and len(a) % leads == 0 and None not in a and None not in b:
+                    x, y = (np.asarray(v, np.float64).reshape(leads, -1) for v in (a, b))
+                    if np.isfinite(x).all() and np.isfinite(y).all():
+                        x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+                        size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+                        moves = size > 1e-12
+                        if moves.any():
+                            each = np.minimum((x * y).sum(1)[moves] / size[moves], 1.0)
+                            # of standardised leads the error follows from the correlation
+                            c, e = round(float(np.median(each)), 9), round(float(np.median(np.sqrt(2 - 2 * each))), 9)
+                correlation.append(c)
+                error.append(e)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(correlation, pa.float64()), pa.array(error, pa.float64())], names=[*keep, "median_correlation", "median_nrmse"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c in keep)
+    return pairs.mapInArrow(run, f"{kinds}, median_correlation double, median_nrmse double")
+
+
+def audit_direction(source: DataFrame, target: DataFrame, rule: AuditThresholds = AuditThresholds(), verify=verified_by_features, signal: str = "features") -> DataFrame:
+    """One match per target record that source records hold too, exactly or nearly.
+
+    Both tables have ``window_id, dataset, record_id, window_index, exact_hash,
+    features``.  Exact candidates need no proof; near ones are verified on the
+    two windows' ``signal``: fingerprints with ``verified_by_features``, or
+    waveforms with ``signals.verified``.
+    """
+    found = candidates(source, target, rule)
+    name = lambda df, side: df.select(F.col("window_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("dataset", "record_id", "window_index")], F.col(signal).alias("left" if side == "source" else "right"))
+    pairs = salted_join(salted_join(found, name(source, "source"), ["source_id"]), name(target, "target"), ["target_id"])
+    return best_matches(verify(pairs), rule)
+
+
+def audit(windows: DataFrame, part: str, rule: AuditThresholds = AuditThresholds()) -> DataFrame:
+    """``audit_direction`` of all train windows against all test windows, whatever their datasets, in one plan; ``part`` names the split."""
+    usable = windows.where(F.col("record_id").isNotNull())
+    return audit_direction(usable.where(F.col(part) == "train"), usable.where(F.col(part) == "test"), rule)
+
+
 def best_matches(verified: DataFrame, rule: AuditThresholds = AuditThresholds()) -> DataFrame:
     """One match per target record: exact before near, then correlation, error and the source's ids."""
     near = (F.col("median_correlation") >= rule.median_correlation) & (F.col("median_nrmse") <= rule.median_nrmse)
     kept = verified.where(F.col("exact") | F.coalesce(near, F.lit(False))).withColumn("match_type", F.when(F.col("exact"), "exact").otherwise("near"))
-    order = [F.col("exact").desc(), F.col("median_correlation").desc_nulls_last(), F.col("median_nrmse").asc_nulls_last(), F.col("source_record_id"), F.col("source_window_index"), F.col("target_window_index")]
+    order = [F.col("exact").desc(), F.col("median_correlation").desc_nulls_last(), F.col("median_nrmse").asc_nulls_last(), F.col("source_record_id"), F.col("source_window_index"), F.col("target_window_index"), *[F.col(c) for c in ("source_id", "target_id") if c in verified.columns]]
     return first_per_key(kept, ["target_record_id"], order)
 
 

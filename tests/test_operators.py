@@ -111,3 +111,36 @@ def test_weights_need_positives(spark):
     assert metrics.positive_weights(df, ["a"]).first().weight == 2
     with pytest.raises(PySparkException):
         metrics.positive_weights(df, ["a", "b"]).collect()
+
+
+def test_near_join_against_all_pairs(spark):
+    import numpy as np
+
+    from heartlake.operators.vector_join import near_join
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 24))
+    other = np.concatenate([base[:30] + rng.normal(size=(30, 24)) * 0.18, rng.normal(size=(40, 24)), base[:2] * 3, [np.zeros(24)]])
+    rows = lambda m, at: [(at + i, v.tolist(), 7) for i, v in enumerate(m)]
+    odd = [(900, None, 7), (901, [], 7), (902, [1.0] * 23, 7), (903, [float("nan")] * 24, 7), (904, [None] * 24, 7)]
+    schema = "k int, v array<double>, key int"
+    left, right = spark.createDataFrame(rows(base, 0) + odd, schema), spark.createDataFrame(rows(other, 50) + odd, schema)
+    got = {(r.left_id, r.right_id): r.cosine for r in near_join(left, right, "k", "v", 0.97).collect()}
+    want = {}
+    for i, a in enumerate(base):
+        for j, b in enumerate(other[:-1]):
+            c = round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 9)
+            if c >= 0.97 and i != 50 + j:
+                want[i, 50 + j] = c
+    want[902, 902] = None
+    del want[902, 902]  # a row is no match of itself
+    assert got == pytest.approx(want, abs=1e-8) and len(want) > 15
+    assert near_join(left.limit(0), right, "k", "v", 0.97).count() == 0
+
+
+def test_running_total(spark):
+    from heartlake.operators.ranking import running_total
+
+    df = spark.createDataFrame([((i * 37) % 101, i % 5) for i in range(101)], "k int, n int").repartition(7)
+    got = running_total(df, [F.col("k").desc()], "n", "before").collect()
+    assert all(r.before == sum(x.n for x in got if x.k > r.k) for r in got) and len(got) == 101

@@ -106,6 +106,52 @@ def test_subsets(spark):
         stratify.partition_subjects(df, "subject", {"a": 0.5, "b": 0.4})
 
 
+def test_subsets_and_splits_meet_their_sizes(spark):
+    df, rows = subjects(spark)
+    for target in (1, 3, 57, 400, len(rows) - 2):
+        sub = stratify.select_subset(df, "subject", target).collect()
+        assert len(sub) == target
+        assert sum(r[0] in {x.subject for x in sub} for r in rows) == target  # whole subjects
+    out = stratify.assign_splits(df, "subject")
+    size = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert all(abs(size[k] - v * len(rows)) <= 1 for k, v in {"train": 0.8, "validation": 0.1, "test": 0.1}.items()) and sum(size.values()) == len(rows)
+    errors = stratify.partition_errors(out, "split", {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()
+    assert len(errors) == 3 * len(LABELS) and all(e.error * e.records <= 2 for e in errors)
+    wanted = [0.5, 0.2, 0.2, 0.1, 0.1]
+    sub = stratify.select_subset(df, "subject", 60, prevalence=wanted).collect()
+    plain = stratify.select_subset(df, "subject", 60).collect()
+    off = lambda found: sum(abs(sum(r[x] for r in found) / 60 - w) for x, w in zip(LABELS, wanted))
+    assert len(sub) == 60 and off(sub) < off(plain)
+
+
+def test_moves_on_counts():
+    import numpy as np
+
+    from heartlake.plans.refine import Tally
+
+    kinds = np.array([[1, 0], [1, 1], [2, 1], [5, 0]])
+    t = Tally(["a", "b"], kinds, np.array([[0, 0, 0, 1], [9, 9, 9, 0]]), np.array([[2, 0], [-2, 0]]))
+    t.fit_sizes()  # the five go, three single ones or fewer larger come back
+    assert t.over[:, 0].tolist() == [0, 0] and t.counts[1, 3] == 1 and t.counts[0] @ kinds[:, 0] == 3
+    t = Tally(["a", "b"], kinds, np.array([[5, 0, 0, 0], [0, 5, 0, 0]]), np.array([[0, -3], [0, 3]]))
+    t.fit_labels()
+    assert t.over.tolist() == [[0, 0], [0, 0]] and sorted(t.net()) == [("a", "b", 0, 3), ("b", "a", 1, 3)]
+    t = Tally(["a", "b"], kinds, np.array([[0, 0, 0, 1], [0, 0, 0, 3]]), np.array([[2, 0], [-2, 0]]))
+    t.fit_sizes()
+    assert t.net() == []  # nothing comes closer
+
+
+def test_repair_keeps_sizes_or_raises(spark):
+    df, _ = subjects(spark)
+    start = stratify.assign_splits(stratify.select_subset(df, "subject", 500), "subject").select("record_id", "subject", *LABELS, "split")
+    failed = start.where(F.crc32("record_id") % 9 == 0).select("record_id")
+    out = stratify.repair(start, df, failed, "subject", "record_id")
+    count = lambda x: {r.split: r["count"] for r in x.groupBy("split").count().collect()}
+    assert failed.count() > 20 and count(out) == count(start) and out.join(failed, "record_id", "left_semi").count() == 0
+    with pytest.raises(TableError, match="needs"):
+        stratify.repair(start, start.drop("split"), failed, "subject", "record_id")
+
+
 def test_repair_fills_up(spark):
     df, _ = subjects(spark)
     start = stratify.assign_splits(stratify.select_subset(df, "subject", 500), "subject").select("record_id", "subject", *LABELS, "split")

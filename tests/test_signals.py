@@ -230,3 +230,18 @@ def test_streams(spark, tmp_path):
     q = live.label_as_it_comes(spark.readStream.schema(texts.schema).parquet(str(tmp_path / "texts")), "k", ["a"], {"af": "flutter"}, str(tmp_path / "lab"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert {(r.k, r.af) for r in spark.read.parquet(str(tmp_path / "lab")).collect()} == {(1, 1), (2, 0)}
+
+
+def test_audit_finds_exact_and_near_matches(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 768))
+    rows = [(i, "a", f"s{i}", 0, f"h{i}", "train", v.tolist()) for i, v in enumerate(base)]
+    near = base[0] * 2 + 0.01 * rng.normal(size=768)
+    turned = base[1] + 0.15 * rng.normal(size=768)  # near by cosine, not by its leads
+    rows += [(10, "b", "t0", 0, None, "test", near.tolist()), (11, "b", "t1", 0, "x", "test", turned.tolist()), (12, "b", "t2", 1, "h2", "test", None), (13, "b", "t2", 0, "y", "test", base[2].tolist()), (14, "b", "t3", 0, "z", "test", rng.normal(size=768).tolist()), (15, "b", None, 0, "h3", "test", None)]
+    w = spark.createDataFrame(rows, "window_id bigint, dataset string, record_id string, window_index int, exact_hash string, part string, features array<double>")
+    got = {r.target_record_id: (r.source_record_id, r.match_type) for r in overlap.audit(w, "part").collect()}
+    assert got == {"t0": ("s0", "near"), "t2": ("s2", "exact")}
+    summary = overlap.removal_summary(overlap.audit(w, "part"), w.where("part = 'test' and record_id is not null")).collect()
+    assert [(r.exact_removed, r.near_removed, r.removed, r.audited) for r in summary] == [(1, 1, 2, 4)]
+    assert overlap.audit(w.limit(0), "part").count() == 0
