@@ -10,7 +10,7 @@ from ..operators.joins import salted_join
 from ..session import cut
 
 
-def hash_to_min(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def hash_to_min(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` of an undirected graph; ``component`` is its smallest node.
 
     Each node holds a cluster, at first its neighbours and itself.  In a round
@@ -25,7 +25,7 @@ def hash_to_min(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame
     both = e.unionByName(turned)
     cluster = cut(both.unionByName(both.select("node", F.col("node").alias("member"))).distinct())
     state = None
-    for _ in range(rounds):
+    while True:  # a round that changes anything brings a smaller member to some node, so this ends
         least = cluster.groupBy("node").agg(F.min("member").alias("least"))
         known = salted_join(cluster, least, ["node"])
         sent = known.select(F.explode(F.array(F.struct(F.col("least").alias("node"), F.col("member").alias("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("x"))
@@ -34,8 +34,6 @@ def hash_to_min(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     return cluster.groupBy("node").agg(F.min("member").alias("component"))
 
 
@@ -74,14 +72,15 @@ def torn_groups(rows: DataFrame) -> DataFrame:
 def rendezvous(key: Column, shares: dict[str, float], seed: int = 42) -> Column:
     """The split of a key by weighted rendezvous hashing.
 
-    Every split scores ``-share / ln(u)`` with a ``u`` in (0, 1) hashed from key
-    and split; the highest score wins.  Adding or reweighting a split moves
-    only the keys that it wins or loses.
+    Every split scores ``-share / ln(u)`` with a ``u`` in (0, 1) of the first 48
+    bits of a digest of split and key; the highest score, to nine decimals, wins.
+    Adding or reweighting a split moves only the keys that it wins or loses.
     """
     best = None
     for name, share in shares.items():
-        u = (F.pmod(F.xxhash64(F.lit(f"{seed}:{name}:"), key), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
-        x = F.struct((F.lit(-float(share)) / F.ln(u)).alias("score"), F.lit(name).alias("name"))
+        bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), key.cast("string"))), 1, 12), 16, 10).cast("double")
+        u = (bits + 0.5) / F.lit(float(1 << 48))
+        x = F.struct(F.round(F.lit(-float(share)) / F.ln(u), 9).alias("score"), F.lit(name).alias("name"))
         best = x if best is None else F.greatest(best, x)
     return best["name"]
 
@@ -93,7 +92,14 @@ def assigned(rows: DataFrame, shares: dict[str, float] | None = None, seed: int
 
 
 def split_report(rows: DataFrame) -> DataFrame:
-    """Listings and components of each assigned split, with their shares."""
+    """Listings and components of each assigned split, their share, and its largest component.
+
+    Hashing balances components, not listings: with few or uneven components a
+    split's ``share`` of the listings is off, and a component that alone is too
+    large for its split shows as ``largest``.
+    """
     all_rows = Window.partitionBy()
-    per = assigned(rows).groupBy("assigned").agg(F.count(F.lit(1)).alias("listings"), F.countDistinct("component").alias("components"))
+    # components, of any number, are counted before they are compared
+    each = assigned(rows).groupBy("assigned", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = each.groupBy("assigned").agg(F.sum("n").alias("listings"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
     return per.withColumn("share", F.round(F.col("listings") / F.sum("listings").over(all_rows), 6))

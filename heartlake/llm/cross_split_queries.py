@@ -35,7 +35,21 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return both.select(F.least("train_id", "eval_id").alias("manifest_id_a"), F.greatest("train_id", "eval_id").alias("manifest_id_b")).distinct()
 
 
-@catalog.query("p2_report")
+_NAME = "nullif(lower(regexp_replace(dataset, '[^\\p{L}\\p{N}]', '', 'g')), '')"
+_REPORT = (
+    _PAIRS[: _PAIRS.index("p AS (")]
+    + f"""x AS (
+  SELECT t.id AS a, e.id AS b, 'record' AS reason FROM t JOIN e ON t.record = e.record
+  UNION SELECT t.id, e.id, 'file' FROM t JOIN e ON t.file = e.file
+  UNION SELECT t.id, e.id, 'window' FROM near JOIN t ON t.record = ra JOIN e ON e.record = rb),
+g AS (SELECT a, b, bool_or(reason = 'record') AS r, bool_or(reason = 'file') AS f, bool_or(reason = 'window') AS w FROM x GROUP BY a, b),
+h AS (SELECT manifest_id AS id, CASE WHEN lower(trim(split, E' \\t\\r\\n')) IN ('test', 'testing') THEN 'test' ELSE 'validation' END AS split, {_NAME} AS dataset FROM week2_manifest)
+SELECT split, dataset, count(*) AS pairs, count(DISTINCT b) AS eval_listings, count(*) FILTER (r) AS by_record, count(*) FILTER (f) AS by_file, count(*) FILTER (w) AS by_window
+FROM g JOIN h ON h.id = b GROUP BY ALL"""
+)
+
+
+@catalog.query("p2_report", _REPORT)
 def p2_report(spark: SparkSession, root: str) -> DataFrame:
     """Overlapping pairs and evaluation listings per split and dataset of the evaluation listing."""
     manifest = table(spark, root, "week2_manifest")

@@ -92,14 +92,27 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return torn.select(F.col("id").alias("manifest_id"), "group_id")
 
 
-@catalog.query("p5_splits")
+_ASSIGNED = _GROUPS + """, c AS (SELECT component, min(id) AS least FROM r GROUP BY component),
+u AS (SELECT least, name, round(-share / ln((CAST('0x' || substr(md5('42:' || name || ':' || least), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0), 9) AS score
+      FROM c, (SELECT unnest(['train', 'validation', 'test']) AS name, unnest([0.8, 0.1, 0.1]) AS share)),
+b AS (SELECT least, name AS assigned FROM (SELECT *, row_number() OVER (PARTITION BY least ORDER BY score DESC, name DESC) AS no FROM u) WHERE no = 1),
+a AS (SELECT id AS manifest_id, least AS component, split AS present, assigned FROM r JOIN c USING (component) JOIN b USING (least))
+"""
+
+
+@catalog.query("p5_splits", _ASSIGNED + "SELECT * FROM a")
 def p5_splits(spark: SparkSession, root: str) -> DataFrame:
     """Every listing with its group and the split it is assigned to."""
     rows = components.assigned(components.related_rows(table(spark, root, "week2_manifest")))
     return rows.select(F.col("id").alias("manifest_id"), "component", "present", "assigned")
 
 
-@catalog.query("p5_report")
+@catalog.query(
+    "p5_report",
+    _ASSIGNED
+    + """, sizes AS (SELECT assigned, component, count(*) AS n FROM a GROUP BY ALL)
+SELECT assigned, CAST(sum(n) AS BIGINT) AS listings, count(*) AS components, max(n) AS largest, round(sum(n) / (SELECT count(*) FROM a), 6) AS share FROM sizes GROUP BY assigned""",
+)
 def p5_report(spark: SparkSession, root: str) -> DataFrame:
     """Listings and groups per assigned split."""
     return components.split_report(components.related_rows(table(spark, root, "week2_manifest")))
