@@ -301,7 +301,7 @@ def contained(documents: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(
     seen = docs.mapInArrow(sketch_documents, "doc_id bigint, key bigint")
     pairs = wanted.select("key", "item_id").distinct()
     joined = seen.join(F.broadcast(pairs), "key") if known is not None and pairs.count() <= rule.item_keys else salted_join(seen, pairs, ["key"])
-    candidates = joined.select("doc_id", "item_id").distinct()
+    candidates = cut(joined.select("doc_id", "item_id").distinct())
     groups = candidates.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / rule.together).alias("groups"))
     grouped = candidates.join(groups, "doc_id").withColumn("no", F.pmod(F.xxhash64("item_id"), "groups"))
     per_doc = grouped.join(tests, "item_id").groupBy("doc_id", "no").agg(F.collect_list("item_id").alias("items"), F.collect_list("item_text").alias("texts"))
