@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .markup import plain, without_tags
 from .residue_exemplars import EXEMPLARS, LEVELS, MARKUP
 
@@ -297,7 +298,7 @@ def corpus(documents: DataFrame, index: ExemplarIndex, rule: ResidueRule) -> Cor
     their mean number of different stems / floor) and field names in at least
     that share of the documents with fields.
     """
-    counts = documents.select("text").mapInArrow(_count(index), "what tinyint, word string, n bigint").groupBy("what", "word").agg(F.sum("n").alias("n"))
+    counts = cut(documents.select("text").mapInArrow(_count(index), "what tinyint, word string, n bigint").groupBy("what", "word").agg(F.sum("n").alias("n")))
     sizes = counts.where("what = 0")
     total = F.coalesce(F.max(F.when(F.col("word") == "", F.col("n"))), F.lit(0)).alias("rows"), F.coalesce(F.max(F.when(F.col("word") == "#fields", F.col("n"))), F.lit(0)).alias("fields")
     least = F.when(F.col("what") == 1, F.col("rows") * rule.floor).otherwise(F.col("fields") * rule.floor)
