@@ -90,6 +90,16 @@ def mapping_sensitivity(spark: SparkSession, root: str) -> DataFrame:
     return rounded(analysis.mapping_sensitivity(predictions(spark, root)))
 
 
+@catalog.query(
+    "rescored_targets",
+    f"""WITH {_VARIANTS}, c AS (SELECT {CELL}, variant, avg(auroc) AS m FROM {auroc_sql('variants', CELL + ', variant, label')} GROUP BY ALL)
+SELECT {CELL}, variant, {r6('m')} AS macro_auroc, {r6("m - max(m) FILTER (variant = 'base') OVER (PARTITION BY " + CELL + ")")} AS change FROM c""",
+)
+def rescored_targets(spark: SparkSession, root: str) -> DataFrame:
+    """Every cell's macro score under each label mapping, and the change against the plain one."""
+    return rounded(analysis.rescored(predictions(spark, root), KEYS))
+
+
 @catalog.query("rescored_labels", f"WITH {PREDICTIONS}, relabelled AS (SELECT p.*, CASE WHEN {_ILL} = 1 THEN 0 ELSE y_normal END AS y_new FROM predictions p) SELECT target_dataset, count(DISTINCT record_id) AS records, count(DISTINCT CASE WHEN y_new <> y_normal THEN record_id END) AS changed FROM relabelled GROUP BY target_dataset")
 def rescored_labels(spark: SparkSession, root: str) -> DataFrame:
     """Records whose label another mapping changes; both sides must have the same records."""

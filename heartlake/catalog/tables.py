@@ -9,7 +9,7 @@ from ..functions.coerce import number, ratio
 from ..functions.listings import split_name
 from ..operators.metrics import sem
 from ..operators.quantiles import exact_quantiles
-from ..operators.ranking import first_per_key, rank_average, rank_min, sample_rows, share_of_total, top_per_group
+from ..operators.ranking import first_per_key, ranked, sample_rows, share_of_total, top_per_group
 from ..operators.reshape import drop_empty_rows, union_by_name, with_columns_of
 from ..plans import overlap
 from ..session import cut, table
@@ -57,14 +57,15 @@ def left_join_zero(spark: SparkSession, root: str) -> DataFrame:
 @catalog.query("rank_min", "SELECT o_orderkey, o_orderpriority, CAST(rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS INT) AS rank FROM orders")
 def rank_min_query(spark: SparkSession, root: str) -> DataFrame:
     """Orders by price within their priority."""
-    return table(spark, root, "orders").select("o_orderkey", "o_orderpriority", rank_min(["o_orderpriority"], F.col("o_totalprice")).alias("rank"))
+    orders = table(spark, root, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranked(orders, ["o_orderpriority"], "o_totalprice").select("o_orderkey", "o_orderpriority", F.col("rank").cast("int").alias("rank"))
 
 
 @catalog.query("rank_average", "SELECT c_custkey, c_mktsegment, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY floor(c_acctbal / 500) DESC) + (count(*) OVER (PARTITION BY c_mktsegment, floor(c_acctbal / 500)) - 1) / 2.0 AS DOUBLE) AS rank FROM customer")
 def rank_average_query(spark: SparkSession, root: str) -> DataFrame:
     """Customers by balance class, equals sharing a rank."""
-    c = table(spark, root, "customer").withColumn("step", F.floor(F.col("c_acctbal") / 500))
-    return c.select("c_custkey", "c_mktsegment", rank_average(["c_mktsegment"], "step").cast("double").alias("rank"))
+    c = table(spark, root, "customer").select("c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 500).alias("step"))
+    return ranked(c, ["c_mktsegment"], "step", average=True).select("c_custkey", "c_mktsegment", "rank")
 
 
 @catalog.query("top_n_per_group", "SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS no FROM orders) WHERE no <= 5")
@@ -261,7 +262,7 @@ def clean_listing(spark: SparkSession, root: str) -> DataFrame:
     return overlap.without_overlaps(table(spark, root, "week2_manifest"), t).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@catalog.query("training_best_epoch", "SELECT o_custkey AS run, arg_max(o_orderkey, o_totalprice) AS best, count(*) AS epochs FROM orders GROUP BY o_custkey")
+@catalog.query("training_best_epoch", "SELECT o_custkey AS run, max_by(o_orderkey, ROW(o_totalprice, -o_orderkey)) AS best, count(*) AS epochs FROM orders GROUP BY o_custkey")
 def training_best_epoch(spark: SparkSession, root: str) -> DataFrame:
-    """The best step of each run: the row of the highest score."""
-    return table(spark, root, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.max_by("o_orderkey", "o_totalprice").alias("best"), F.count(F.lit(1)).alias("epochs"))
+    """The best step of each run: the row of the highest score, the first of equals."""
+    return table(spark, root, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best"), F.count(F.lit(1)).alias("epochs"))

@@ -79,3 +79,16 @@ def explode_packed(df: DataFrame, keys: list[str], field: str, position: str = "
 
     listed = F.filter(F.flatten(F.transform(f, values)), lambda v: v != "")
     return out.select(*keys, F.posexplode(listed).alias("__p", value)).select(*keys, (F.col("__p") + 1).cast("int").alias(position), value)
+
+
+def explode_literals(df: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """``explode_packed`` of fields that must be literals: mappings, lists, tuples or sets.
+
+    Keys and items may hold the other kind of quote (``{"it's": 1}``).  Null,
+    blank and empty literals, ``set()`` among them, give no row; a field that
+    isn't a literal raises.
+    """
+    shaped = F.col(field).rlike(r"^\s*(\{[\s\S]*\}|\[[\s\S]*\]|\([\s\S]*\)|set\(\))\s*$|^\s*$")
+    bad = F.raise_error(F.concat(F.lit("not a literal of codes: "), F.col(field))).cast("string")
+    text = F.when(F.col(field).isNull() | F.trim(field).isin("", "set()"), F.lit(None).cast("string")).when(shaped, F.col(field)).otherwise(bad)
+    return explode_packed(df.select(*keys, text.alias(field)), keys, field)

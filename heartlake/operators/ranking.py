@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .joins import salted_join
+from .quantiles import order_bucket
 
 
 def rank_min(group: Sequence[str], value: Column, descending: bool = True) -> Column:
@@ -80,3 +82,28 @@ def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str)
     parts = placed.groupBy("__p").agg(F.sum(value).alias("__s"))
     parts = parts.select("__p", (F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).alias("__before"))
     return placed.withColumn(out, F.sum(value).over(own) - F.col(value)).join(F.broadcast(parts), "__p").withColumn(out, F.col(out) + F.col("__before")).drop("__p", "__before")
+
+
+def ranked(df: DataFrame, group: Sequence[str], value: str, out: str = "rank", average: bool = False, descending: bool = True) -> DataFrame:
+    """``df`` with the rank of ``value``, a number, from 1 within its group; equals share the smallest, or the ``average``.
+
+    As ``rank_min`` and ``rank_average``, for groups too large to be sorted in
+    one task: equal values are counted before the shuffle, ranked within buckets
+    of their size, and the buckets' sums add what lies before.  Nulls rank last;
+    rows are matched to the ranks of their values with hot values salted.
+    """
+    key = F.to_json(F.struct(*[F.col(g) for g in group], F.col(value).cast("double").alias(f"__{value}")), {"ignoreNullFields": "false"})
+    v = F.col(value).cast("double")
+    per = df.groupBy(*group, v.alias("__v"), key.alias("__k")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.when(F.isnan("__v"), F.lit(1 << 40)).when(F.col("__v").isNotNull(), order_bucket(F.col("__v"), 128)))
+    down = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    sizes = per.groupBy(*group, "__b").agg(F.sum("__n").alias("__m"))
+    sizes = sizes.withColumn("__before", F.sum("__m").over(before(Window.partitionBy(*group).orderBy(down("__b")))) - F.col("__m")).drop("__m")
+    inside = F.sum("__n").over(before(Window.partitionBy(*group, "__b").orderBy(down("__v")))) - F.col("__n")
+    same = F.lit(True)
+    for c in [*group, "__b"]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}"))
+    rank = F.col("__before") + F.col("__inside") + 1
+    rank = rank + (F.col("__n") - 1) / F.lit(2.0) if average else rank
+    ranks = per.withColumn("__inside", inside).alias("a").join(sizes.alias("s"), same).select("__k", rank.alias(out))
+    return salted_join(df.withColumn("__k", key), ranks, ["__k"]).drop("__k")

@@ -13,7 +13,7 @@ from ..operators.checks import join_checked, require_columns, require_rows, requ
 from ..operators.metrics import auroc, compare_gaps, generalization_gap, kendall_tau, sem, sign_flip_p
 from ..operators.ranking import against_baseline, rank_average, rank_min, share_of_total
 from ..session import cut
-from .labels import collapse_probability, mapping_variants
+from .labels import collapse_probability, mapping_pieces, of_variants
 from .matrix import CELL
 
 SHIFTS = ("PS", "DS", "LS")
@@ -143,11 +143,20 @@ def collapsed(predictions: DataFrame, keys: Sequence[str], aggregations: Sequenc
     return auroc(long, [*keys, "aggregation"], "y", "p").select(*keys, "aggregation", (F.col("positives") + F.col("negatives")).alias("record_count"), "auroc")
 
 
+def rescored(predictions: DataFrame, keys: Sequence[str], baseline: str = "base") -> DataFrame:
+    """``keys, variant, macro_auroc, change``: the predictions scored against each label mapping, and the change against the baseline.
+
+    Each different score is ranked once; variants share the areas.
+    """
+    per = of_variants(auroc(mapping_pieces(predictions, keys), [*keys, "piece"], "y", "p"))
+    cells = per.groupBy(*keys, "variant").agg(F.avg("auroc").alias("macro_auroc"))
+    return cells.withColumn("change", against_baseline(keys, "macro_auroc", F.col("variant") == baseline))
+
+
 def mapping_sensitivity(predictions: DataFrame, baseline: str = "base") -> DataFrame:
     """Per architecture and label mapping: mean score across datasets, gap, rank, and change against the baseline mapping."""
     keys = ["architecture", *CELL]
-    per = auroc(mapping_variants(predictions, keys), [*keys, "variant", "label"], "y", "p")
-    cells = per.groupBy(*keys, "variant").agg(F.avg("auroc").alias("macro_auroc"))
+    cells = rescored(predictions, keys).select(*keys, "variant", "macro_auroc")
     summary = generalization_gap(cells, ["architecture", "variant"], "macro_auroc")
     ranked = summary.withColumn("rank", rank_min(["variant"], F.col("cross_dataset_mean")))
     is_base = F.col("variant") == baseline

@@ -106,6 +106,34 @@ def mapping_variants(wide: DataFrame, keys: Sequence[str], truth: str = "y_", sc
     return wide.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
 
 
+#: The scores that each variant is made of, by the label it has there.
+PIECES = {
+    "base": {x: x for x in LABELS},
+    "exclusive_normal": {**{x: x for x in LABELS[1:]}, "normal": "exclusive"},
+    "abnormal_only": {x: x for x in LABELS[1:]},
+    "merged_bbb": {**{x: x for x in LABELS if x not in ("lbbb", "rbbb")}, "bbb": "bbb"},
+}
+
+
+def mapping_pieces(wide: DataFrame, keys: Sequence[str], truth: str = "y_", score: str = "p_") -> DataFrame:
+    """``keys, piece, y, p``: the seven different scores that all variants are made of."""
+    y, p = (lambda x: F.col(truth + x)), (lambda x: F.col(score + x))
+    ill = LABELS[1:]
+    one = lambda piece, yy, pp: F.struct(F.lit(piece).alias("piece"), yy.cast("int").alias("y"), pp.cast("double").alias("p"))
+    some_y, some_p = any_positive(*[y(x) for x in ill]), any_positive(*[p(x) for x in ill])
+    rows = [one(x, y(x), p(x)) for x in LABELS]
+    rows.append(one("exclusive", F.when(some_y == 1, 0).otherwise(y("normal")), p("normal") * (F.lit(1.0) - some_p)))
+    rows.append(one("bbb", any_positive(y("lbbb"), y("rbbb")), any_positive(p("lbbb"), p("rbbb"))))
+    return wide.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
+
+
+def of_variants(pieces: DataFrame) -> DataFrame:
+    """Rows of each ``piece`` once for every variant that is made of it, as ``variant`` and ``label``."""
+    of = [F.struct(F.lit(p).alias("piece"), F.lit(v).alias("variant"), F.lit(label).alias("label")) for v, made in PIECES.items() for label, p in made.items()]
+    each = F.explode(F.filter(F.array(*of), lambda x: x["piece"] == F.col("piece")))
+    return pieces.withColumn("__of", each).withColumn("variant", F.col("__of.variant")).withColumn("label", F.col("__of.label")).drop("__of", "piece")
+
+
 def load_code_map(mapping: DataFrame, code: str = "source_code", label: str = "target_label", version: str = "mapping_version") -> tuple[dict[str, list[str]], str]:
     """A bounded vocabulary as a dict, and its one version; several versions raise."""
     rows = mapping.select(F.trim(code).alias("c"), F.trim(label).alias("l"), F.col(version).alias("v")).distinct().limit(100_001).collect()

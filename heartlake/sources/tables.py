@@ -6,6 +6,7 @@ import json
 import lzma
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -83,9 +84,33 @@ def named_paths(pairs: Sequence[str]) -> dict[str, str]:
     return out
 
 
+#: Rows of one summary file at most; larger results are tables of many files.
+SINGLE_FILE_ROWS = 1_000_000
+
+
 def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by: Sequence[str] = ()) -> None:
-    """Parquet or CSV by suffix, committed as a whole; an existing target raises unless ``overwrite``."""
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
+    """Parquet or CSV by suffix, committed as a whole; an existing target raises unless ``overwrite``.
+
+    When overwriting, the new table is written beside the old one, which is
+    replaced by renames only once the new one is complete; a job that fails
+    leaves the old table as it was.
+    """
+    if overwrite:
+        jvm = df.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+        if fs.exists(target):
+            suffix = "." + path.rsplit(".", 1)[-1]
+            new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{part}-{uuid.uuid4().hex}{suffix}") for part in ("new", "old"))
+            try:
+                write_table(df, new.toString(), partition_by=partition_by)
+                if not (fs.rename(target, old) and fs.rename(new, target)):
+                    raise OSError(f"cannot replace {path}")
+                fs.delete(old, True)
+            finally:
+                fs.delete(new, True)
+            return
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if path.lower().endswith(".csv"):
@@ -105,7 +130,9 @@ def distinct_outputs(*paths: str) -> None:
 
 def write_single_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """A small result (cells, summaries) as one CSV file in fixed order, replaced in one step."""
-    rows = (df.orderBy(*order) if order else df).toPandas()
+    rows = (df.orderBy(*order) if order else df).limit(SINGLE_FILE_ROWS + 1).toPandas()
+    if len(rows) > SINGLE_FILE_ROWS:
+        raise TableError(f"more than {SINGLE_FILE_ROWS} rows are a table, not a summary; use write_table")
     _replace(path, rows.to_csv(index=False, lineterminator="\n"))
 
 

@@ -144,3 +144,15 @@ def test_running_total(spark):
     df = spark.createDataFrame([((i * 37) % 101, i % 5) for i in range(101)], "k int, n int").repartition(7)
     got = running_total(df, [F.col("k").desc()], "n", "before").collect()
     assert all(r.before == sum(x.n for x in got if x.k > r.k) for r in got) and len(got) == 101
+
+
+@pytest.mark.parametrize("average", [False, True])
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_in_buckets_are_the_windows(spark, average, descending):
+    from heartlake.operators.ranking import rank_average, rank_min, ranked
+
+    rows = [(i, i % 3 if i % 7 else None, None if i % 11 == 0 else float((i * 37) % 50) - 20 + (1e-9 if i % 5 == 0 else 0)) for i in range(400)] + [(900, 1, float("inf")), (901, 1, float("-inf")), (902, 1, 0.0), (903, 1, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, g int, x double")
+    want = rank_average(["g"], "x", descending) if average else rank_min(["g"], F.col("x"), descending)
+    got = {r.id: float(r["rank"]) for r in ranked(df, ["g"], "x", average=average, descending=descending).collect()}
+    assert got == {r.id: float(r["rank"]) for r in df.withColumn("rank", want).collect()}

@@ -61,3 +61,16 @@ def test_empty_table_long_field_and_extra_columns(spark):
     assert len(unpacked(spark, [", ".join(["code"] * 20_000)])[0]) == 20_000
     df = spark.createDataFrame([(1, "a,b", 5, 6)], "index_id bigint, raw_labels string, code int, __t int")
     assert explode_packed(df, ["index_id"], "raw_labels").count() == 2
+
+
+def test_literals_of_every_kind(spark):
+    from heartlake.functions.packed import explode_literals
+
+    rows = [(1, "{'A': 1.0, 'B': None}"), (2, "['A', 'B']"), (3, "('A',)"), (4, "{'A', 'B'}"), (5, "{\"it's\": 1}"), (6, "set()"), (7, "[]"), (8, None), (9, " "), (10, "[1, 2]")]
+    df = spark.createDataFrame([(*x, 5) for x in rows], "id int, raw string, code int")
+    got = {}
+    for r in explode_literals(df, ["id"], "raw").orderBy("id", "code_pos").collect():
+        got.setdefault(r.id, []).append(r.code)
+    assert got == {1: ["A", "B"], 2: ["A", "B"], 3: ["A"], 4: ["A", "B"], 5: ["it's"], 10: ["1", "2"]}
+    with pytest.raises(Exception, match="not a literal"):
+        explode_literals(spark.createDataFrame([(1, "A,B")], "id int, raw string"), ["id"], "raw").collect()

@@ -245,3 +245,20 @@ def test_audit_finds_exact_and_near_matches(spark):
     summary = overlap.removal_summary(overlap.audit(w, "part"), w.where("part = 'test' and record_id is not null")).collect()
     assert [(r.exact_removed, r.near_removed, r.removed, r.audited) for r in summary] == [(1, 1, 2, 4)]
     assert overlap.audit(w.limit(0), "part").count() == 0
+
+
+def test_overwriting_leaves_no_gap(spark, tmp_path):
+    from heartlake.sources.tables import write_single_csv, write_table
+
+    path = str(tmp_path / "t.parquet")
+    write_table(spark.range(3), path)
+    with pytest.raises(Exception):
+        write_table(spark.range(5), path)
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("stop")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception):
+        write_table(broken, path, overwrite=True)
+    assert spark.read.parquet(path).count() == 3
+    write_table(spark.read.parquet(path).union(spark.range(4)), path, overwrite=True)  # even of itself
+    assert spark.read.parquet(path).count() == 7 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t.parquet"]
+    write_single_csv(spark.range(3), str(tmp_path / "s.csv"), ["id"])
+    assert (tmp_path / "s.csv").read_text() == "id\n0\n1\n2\n"
