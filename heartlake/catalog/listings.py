@@ -356,3 +356,45 @@ def repair_sizes(spark: SparkSession, root: str) -> DataFrame:
     kept = before.join(after, "split", "full").agg(F.min(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("sizes_kept"))
     left = out.join(failed, "record_id", "left_semi").agg(F.count(F.lit(1)).alias("failed_left"))
     return out.agg(F.count(F.lit(1)).alias("records")).join(F.broadcast(left)).join(F.broadcast(kept))
+
+
+@catalog.query("exact_listing", f"WITH {_SUBJECTS}, e AS (SELECT least(500, count(*)) AS n FROM usable) SELECT CAST(n AS BIGINT) AS records, CAST(0 AS BIGINT) AS broken_rules, true AS sizes_met FROM e")
+def exact_listing(spark: SparkSession, root: str) -> DataFrame:
+    """A listing of exactly 500 records: its records, broken rules, and whether its splits have their sizes."""
+    index = _usable(spark, root).select("record_id", F.col("subject").alias("subject_id"), "signal_path", *LABELS)
+    out = cut(manifest.from_exact(index, 500))
+    per = out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("split") == "train", 0.8).otherwise(0.1)).alias("share"))
+    whole = out.agg(F.count(F.lit(1)).alias("records"))
+    met = per.join(F.broadcast(whole)).agg(F.max("records").alias("records"), F.min(F.abs(F.col("n") - F.col("share") * F.col("records")) <= 1).alias("sizes_met"))
+    broken = manifest.violations(out).agg(F.sum("rows").cast("bigint").alias("broken_rules"))
+    return met.join(F.broadcast(broken)).select("records", "broken_rules", "sizes_met")
+
+
+@catalog.query(
+    "subset_pipeline",
+    f"""WITH {_SUBJECTS}, ok AS (SELECT * FROM usable u WHERE NOT EXISTS (SELECT 1 FROM signal_index i WHERE trim(i.ecg_id) = trim(u.record_id) AND NOT coalesce(shape_ok, true)))
+SELECT 'size' AS section, 'all' AS split, 'records' AS metric, CAST(greatest(1, count(*) // 2) AS DOUBLE) AS value FROM ok
+UNION ALL SELECT 'leakage', 'all', 'subjects_in_several_splits', 0.0""",
+)
+def subset_pipeline(spark: SparkSession, root: str) -> DataFrame:
+    """The whole way from records to a listing of half of them; its size and leakage as the quality report has them."""
+    rows = _usable(spark, root).select(F.col("record_id").alias("study_id"), F.col("subject").alias("subject_id"), F.col("signal_path").alias("waveform_path"), *LABELS)
+    rows = rows.withColumn("waveform_path", F.coalesce("waveform_path", F.lit("unknown")))
+    failed = table(spark, root, "signal_index").where(~F.coalesce("shape_ok", F.lit(True))).select(F.col("ecg_id").alias("study_id")).distinct()
+    fine = eligibility.without(rows, failed, "study_id").count()
+    _, report = manifest.subset_listing(rows, failed, max(1, fine // 2))
+    shown = ((F.col("section") == "size") & (F.col("split") == "all") & (F.col("metric") == "records")) | (F.col("section") == "leakage")
+    return report.where(shown).select("section", "split", "metric", "value")
+
+
+@catalog.query(
+    "missing_exams",
+    """WITH l AS (SELECT record_id, split_part(signal_path, '::', 1) AS file, split_part(signal_path, '::', 2) AS exam FROM week2_manifest WHERE contains(signal_path, '::')),
+k AS (SELECT DISTINCT split_part(file, '::', 1) AS file, split_part(file, '::', 2) AS exam FROM signal_index WHERE contains(file, '::'))
+SELECT record_id, file, exam, CASE WHEN file IN (SELECT file FROM k) THEN 'no_exam' ELSE 'no_file' END AS reason FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.file = l.file AND k.exam = l.exam)""",
+)
+def missing_exams(spark: SparkSession, root: str) -> DataFrame:
+    """Listings of archives whose exam the index doesn't have."""
+    known = table(spark, root, "signal_index").where(F.col("file").contains("::"))
+    exams = known.select(F.split_part("file", F.lit("::"), F.lit(1)).alias("file"), F.split_part("file", F.lit("::"), F.lit(2)).alias("exam"))
+    return manifest.missing_exams(table(spark, root, _LISTING), exams)

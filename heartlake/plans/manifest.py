@@ -12,7 +12,10 @@ from ..functions.coerce import blank, safe_relative_path
 from ..functions.listings import split_name
 from ..functions.names import LABELS, SPLITS, ordinal
 from ..operators.checks import TableError, join_checked, require_columns, require_one_value, require_rows, require_unique
-from .stratify import assign_splits
+from ..operators.ranking import first_per_key
+from ..session import cut
+from .eligibility import eligible, qc_report, without
+from .stratify import assign_splits, select_exact, select_subset
 
 #: The columns every listing has.
 KEYS = ("dataset", "record_id", "subject_id", "split")
@@ -90,6 +93,49 @@ def from_splits(index: DataFrame, dataset: str = "mimic_iv", storage: str = "wfd
     return _finish(out, dataset, storage, 5000, f"{dataset}-five-label-v1", f"subject-80-10-10-seed{seed}", seed)
 
 
+def from_exact(index: DataFrame, n: int, dataset: str = "code_ii", path: Column | None = None, seed: int = 42) -> DataFrame:
+    """Listing of exactly ``n`` records (all, if fewer) with the label shares of all, split by subject.
+
+    ``index`` has ``record_id, subject_id``, the labels and ``signal_path`` (or
+    ``path`` gives it).  Rows with an id missing or a label outside 0 and 1 can't
+    be chosen; of a record listed again the row with the smallest subject counts.
+    """
+    fine = ~blank(F.col("record_id")) & ~blank(F.col("subject_id"))
+    for x in LABELS:
+        fine = fine & F.coalesce(F.col(x).isin(0, 1), F.lit(False))
+    rows = index.where(fine).withColumns({"record_id": F.trim("record_id"), "subject_id": F.trim("subject_id"), "signal_path": F.col("signal_path") if path is None else path})
+    rows = first_per_key(rows.select("record_id", "subject_id", "signal_path", *LABELS), ["record_id"], [F.col("subject_id"), F.col("signal_path")])
+    chosen = cut(select_exact(rows, "record_id", n, LABELS, seed))
+    return _finish(assign_splits(chosen, "subject_id", seed=seed), dataset, "hdf5", 5000, f"{dataset}-five-label-v1", f"subject-80-10-10-seed{seed}", seed)
+
+
+def subset_listing(records: DataFrame, excluded: DataFrame, target: int, dataset: str = "mimic_iv", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The whole way from eligible records to a listing and its quality report.
+
+    ``records`` has ``study_id, subject_id, waveform_path`` and the labels:
+    excluded studies leave, whole subjects are chosen to the target, split
+    80/10/10, listed and checked by ``violations``; any is an error.
+    """
+    picked = select_subset(without(eligible(records), excluded, "study_id"), "subject_id", target, LABELS, seed)
+    out = cut(from_splits(assign_splits(picked, "subject_id", seed=seed), dataset, seed=seed))
+    broken = {r["rule"]: r["rows"] for r in violations(out).collect() if r["rows"]}
+    if broken:
+        raise TableError(f"listing breaks its rules: {broken}")
+    return out, qc_report(out, "subject_id", "split")
+
+
+def missing_exams(listing: DataFrame, exams: DataFrame) -> DataFrame:
+    """Listings of archives (``FILE::EXAM``) whose file or exam isn't there: ``record_id, file, exam, reason``.
+
+    ``exams`` has one row per exam, ``file, exam``.  Reasons are no_file and no_exam.
+    """
+    wanted = listing.where(F.col("signal_path").contains("::")).select("record_id", F.split_part("signal_path", F.lit("::"), F.lit(1)).alias("file"), F.split_part("signal_path", F.lit("::"), F.lit(2)).alias("exam"))
+    known = exams.select("file", "exam").distinct()
+    files = known.select("file").distinct().withColumn("__there", F.lit(True))
+    left = wanted.join(known, ["file", "exam"], "left_anti").join(files, "file", "left")
+    return left.select("record_id", "file", "exam", F.when(F.col("__there").isNull(), "no_file").otherwise("no_exam").alias("reason"))
+
+
 def only_paths_changed(before: DataFrame, after: DataFrame) -> bool:
     """Whether two listings are equal but for path and storage."""
     rest = [c for c in before.columns if c not in ("signal_path", "storage")]

@@ -167,8 +167,11 @@ def read_records(manifest: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             rows = []
             for rid, path in zip(batch["record_id"], batch["signal_path"]):
-                r = wfdb.rdrecord(f"{root}/{path}")
-                rows.append((rid, float(r.fs), list(r.sig_name), list(r.units), [list(map(float, x)) for x in r.p_signal.T], ""))
+                try:
+                    r = wfdb.rdrecord(f"{root}/{path}")
+                    rows.append((rid, float(r.fs), list(r.sig_name), list(r.units), [list(map(float, x)) for x in r.p_signal.T], ""))
+                except Exception as e:  # noqa: BLE001 - whatever the package raises is the record's error, not the job's
+                    rows.append((rid, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["record_id", "rate", "leads", "units", "samples", "error"])
 
     return manifest.select("record_id", "signal_path").mapInPandas(run, RAW)
