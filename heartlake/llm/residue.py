@@ -307,12 +307,11 @@ def corpus(documents: DataFrame, index: ExemplarIndex, rule: ResidueRule) -> Cor
     that share of the documents with fields.
     """
     counts = cut(documents.select("text").mapInArrow(_count(index), "what tinyint, word string, n bigint").groupBy("what", "word").agg(F.sum("n").alias("n")))
-    sizes = counts.where("what = 0")
-    total = F.coalesce(F.max(F.when(F.col("word") == "", F.col("n"))), F.lit(0)).alias("rows"), F.coalesce(F.max(F.when(F.col("word") == "#fields", F.col("n"))), F.lit(0)).alias("fields")
-    least = F.when(F.col("what") == 1, F.col("rows") * rule.floor).otherwise(F.col("fields") * rule.floor)
-    kept = counts.where("what > 0").join(F.broadcast(sizes.agg(*total)), how="inner", on=F.lit(True)).where(F.col("n") >= least)
-    got = kept.select("what", "word", "n", "rows").collect()
-    return Corpus(got[0]["rows"] if got else 0, {r["word"]: r["n"] for r in got if r["what"] == 1}, frozenset(r["word"] for r in got if r["what"] == 2))
+    sizes = {r["word"]: r["n"] for r in counts.where("what = 0").collect()}
+    rows, fields = sizes.get("", 0), sizes.get("#fields", 0)
+    least = F.when(F.col("what") == 1, F.lit(rows * rule.floor)).otherwise(F.lit(fields * rule.floor))
+    got = counts.where((F.col("what") > 0) & (F.col("n") >= least)).collect()
+    return Corpus(rows, {r["word"]: r["n"] for r in got if r["what"] == 1}, frozenset(r["word"] for r in got if r["what"] == 2))
 
 
 def weigher(stats: Corpus, rule: ResidueRule):
