@@ -1,10 +1,11 @@
-"""The most similar vectors of every vector, by graphs over shards.
-
-The collection is routed to shards of near directions.  In each shard a
-robust-pruned directed graph is built over the vectors at home there, and a
-beam search is run for each of them and for the visitors, vectors whose second
-nearest shard it is.  What the beams bring back is ranked again with the full
-vectors in double precision.
+"""The most similar vectors of every vector, by groups of near ones.
+
+Small codes of the vectors are routed to a few large regions of near
+directions, so that their borders part few neighbours however large the
+collection is.  In each region every code meets the cells nearest to it, and
+what is near takes one label; a vector's groups are the labels of what is near
+it in any region.  Only then do whole vectors travel, each to its groups, where
+all pairs are ranked in double precision.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import salted_join
 from ..session import cut, width
-from .vamana import ShardGraph, orthonormal
+from .vamana import orthonormal
 from .vectors import matrix, pack, unit, unpack
 
 
@@ -28,17 +29,20 @@ from .vectors import matrix, pack, unit, unpack
 class GraphIndex:
     """Parameters of the index.
 
-    ``sample``: bound of the vectors the shard centres are fitted on, as many
+    ``sample``: bound of the vectors the region centres are fitted on, as many
     numbers each as ``width``; every vector is indexed and searched.
-    ``per_centre``: sampled vectors a centre needs at least, so there are at most
-    ``sample / per_centre`` shards.  ``shard_rows``: vectors wanted in a shard; a
-    shard that would hold more than twice as many, as one that no centres can
-    part or, with the defaults, those of a collection beyond 30 million, is split
-    at random, and a query then searches all its parts.  ``visits``: shards a
-    vector is searched in.  ``margin``: how much less similar than the nearest
-    centre another may be to be visited.  ``width``: dimensions used to route
-    and navigate.  ``degree``, ``pool``, ``expand``, ``relax``: of the graph and
-    its beam search; ``build_pool`` and ``build_expand`` hold while it is built.
+    ``per_centre``: sampled vectors a centre needs at least.  ``region_rows``:
+    vectors wanted in a region; with fewer than ``regions`` such regions they
+    are smaller.  A region of more than twice as many, as one that no centres can
+    part, is split at random, and a code then searches all its parts.
+    ``visits``: regions a code is searched in.  ``margin``: how much less similar
+    than the nearest centre another may be to be visited.  ``width``: dimensions
+    of a code, a byte each.  ``cell_rows``: codes wanted in a region's cell;
+    ``probes``: cells that a code meets there.  ``near``: codes kept of them, and
+    of these those that are at most ``slack`` less similar than the ``k``-th.
+    ``rounds``: steps that a label is handed on at most.  ``shard_rows``: vectors wanted in
+    a task that ranks groups; a group of more than twice as many is split, and
+    each of its vectors goes to all parts.
     ``copies_per_task``: exact copies of one vector that one task expands.
     ``broadcast_ids``: ids that may be broadcast (8 bytes each).  ``tasks``:
     shuffle partitions that the shards are spread over at most.
@@ -48,16 +52,17 @@ class GraphIndex:
     k: int = 5
     sample: int = 65_536
     per_centre: int = 8
-    shard_rows: int = 2048
-    visits: int = 3
-    margin: float = 0.03
+    region_rows: int = 131_072
+    regions: int = 16
+    visits: int = 8
+    margin: float = 0.05
     width: int = 160
-    degree: int = 32
-    pool: int = 64
-    expand: int = 20
-    build_pool: int = 48
-    build_expand: int = 16
-    relax: float = 1.05
+    cell_rows: int = 256
+    probes: int = 24
+    near: int = 10
+    slack: float = 0.08
+    rounds: int = 3
+    shard_rows: int = 2048
     copies_per_task: int = 200_000
     broadcast_ids: int = 500_000
     tasks: int = 20_000
@@ -144,8 +149,19 @@ def _copies(hashed: DataFrame, index: GraphIndex) -> DataFrame:
     return salted_join(hashed, aligned, ["d1", "d2"]).select("vec_id", "rep", "n").unionByName(salted_join(equal, classes, ["h1", "h2"]).select("vec_id", "rep", "n"))
 
 
+def _codes(low: np.ndarray) -> np.ndarray:
+    """Each row in steps of its largest number's 127th, a byte a number."""
+    return np.round(low / np.maximum(np.abs(low).max(1, keepdims=True), 1e-9) * 127).astype(np.int8)
+
+
+def _decoded(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors of codes."""
+    low = codes.astype(np.float32)
+    return low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-9)
+
+
 def _route(index: GraphIndex, centres: np.ndarray, parts: np.ndarray):
-    """Batches of ``(vec_id, features)`` to rows for the shards: one at home, the others as visits."""
+    """Batches of ``(vec_id, features)`` to codes for the regions: one at home, the others as visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(64, min(4096, 8_000_000 // len(centres)))
@@ -157,12 +173,13 @@ def _route(index: GraphIndex, centres: np.ndarray, parts: np.ndarray):
                 if not len(at):
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
-                near = _narrow(unit(m), index) @ centres.T
+                low = _narrow(unit(m), index)
+                near = low @ centres.T
                 order = np.argpartition(-near, visits - 1, axis=1)[:, :visits]
                 score = np.take_along_axis(near, order, 1)
                 by = np.argsort(-score, axis=1, kind="stable")
                 order, score = np.take_along_axis(order, by, 1), np.take_along_axis(score, by, 1)
-                packed = np.array(pack(m), dtype=object)
+                codes = np.array([r.tobytes() for r in _codes(low)], dtype=object)
                 home_part = (ids * 2654435761 % 4294967291) % parts[order[:, 0]]
                 cols: list[list] = [[], [], [], [], []]
                 for v in range(visits):
@@ -170,17 +187,140 @@ def _route(index: GraphIndex, centres: np.ndarray, parts: np.ndarray):
                     for part in range(int(parts[order[goes, v]].max(initial=0))):
                         rows = np.nonzero(goes & (part < parts[order[:, v]]))[0]
                         home = np.full(len(rows), v == 0) & (home_part[rows] == part)
-                        for c, x in zip(cols, (order[rows, v], np.full(len(rows), part), home, ids[rows], packed[rows])):
+                        for c, x in zip(cols, (order[rows, v], np.full(len(rows), part), home, ids[rows], codes[rows])):
                             c.append(x)
-                shard, part, home, vec, data = (np.concatenate(c) for c in cols)
+                region, part, home, vec, code = (np.concatenate(c) for c in cols)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(home, pa.bool_()), pa.array(vec, pa.int64()), pa.array(list(data), pa.binary())],
-                    names=["shard", "part", "home", "vec_id", "data"],
+                    [pa.array(region, pa.int32()), pa.array(part, pa.int32()), pa.array(home, pa.bool_()), pa.array(vec, pa.int64()), pa.array(list(code), pa.binary())],
+                    names=["region", "part", "home", "vec_id", "code"],
                 )
 
     return run
 
 
+def _nearest_codes(codes: np.ndarray, index: GraphIndex) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and similarities of the ``near`` nearest others of each code; -1 and -9 fill the rest."""
+    wanted = max(1, len(codes) // index.cell_rows)
+    some = np.random.default_rng(index.seed).permutation(len(codes))[: 64 * wanted]
+    centres = fit_centres(_decoded(codes[some]), wanted, index.seed, 4)
+    cell = np.concatenate([_nearest_centre(_decoded(codes[at : at + 32_768]), centres) for at in range(0, len(codes), 32_768)])
+    by = np.argsort(cell, kind="stable")
+    bounds = np.searchsorted(cell[by], np.arange(len(centres) + 1))
+    probes = min(index.probes, len(centres))
+    ids = np.full((len(codes), index.near), -1, np.int32)
+    sims = np.full((len(codes), index.near), -9, np.float32)
+    for at in range(0, len(codes), 32_768):
+        q = _decoded(codes[at : at + 32_768])
+        own = at + np.arange(len(q), dtype=np.int32)
+        i, s = ids[at : at + 32_768], sims[at : at + 32_768]
+        to = np.empty((len(q), probes), np.int32)
+        for c in range(0, len(q), 4096):
+            d = q[c : c + 4096] @ centres.T
+            first = np.argpartition(-d, probes - 1, axis=1)[:, :probes]
+            to[c : c + 4096] = np.take_along_axis(first, np.argsort(-np.take_along_axis(d, first, 1), axis=1), 1)
+        for rank in range(probes):
+            order = np.argsort(to[:, rank], kind="stable")
+            edge = np.searchsorted(to[order, rank], np.arange(len(centres) + 1))
+            for c in np.nonzero(np.diff(edge) * np.diff(bounds))[0]:
+                there = by[bounds[c] : bounds[c + 1]].astype(np.int32)
+                cell_codes = _decoded(codes[there]).T
+                asked = order[edge[c] : edge[c + 1]]
+                for begin in range(0, len(asked), 2048):
+                    rows = asked[begin : begin + 2048]
+                    d = q[rows] @ cell_codes
+                    d[there[None, :] == own[rows, None]] = -9
+                    better = (d > s[rows].min(1)[:, None]).any(1)
+                    rows, d = rows[better], np.concatenate([s[rows[better]], d[better]], 1)
+                    if not len(rows):
+                        continue
+                    top = np.argpartition(-d, index.near - 1, axis=1)[:, : index.near]
+                    both = np.concatenate([i[rows], np.broadcast_to(there, (len(rows), len(there)))], 1)
+                    i[rows], s[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(d, top, 1)
+    ids[sims <= -9] = -1
+    return ids, sims
+
+
+_LABELS = "vec_id bigint, label bigint, sim float, kth float"
+
+
+def _label_region(index: GraphIndex):
+    """One region's codes to ``(vec_id, label, sim, kth)``: the labels of what is near each code, the most similar that has it, and the ``k``-th similarity."""
+
+    def run(region: pa.Table) -> pa.Table:
+        home = region.column("home").to_numpy()
+        ids = region.column("vec_id").to_numpy()
+        order = np.lexsort((ids, ~home))
+        ids, members = ids[order], int(home.sum())
+        if members == 0:
+            return pa.table({"vec_id": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "sim": pa.array([], pa.float32()), "kth": pa.array([], pa.float32())})
+        column = region.column("code").combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        flat = np.frombuffer(column.buffers()[2], np.int8)
+        start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+        codes = flat[start:][: len(ids) * min(index.dim, index.width)].reshape(len(ids), -1)[order]
+        near, sim = _nearest_codes(codes, index)
+        kth = np.partition(sim, index.near - index.k, axis=1)[:, index.near - index.k] if index.near > index.k else sim.min(1)
+        keep = (near >= 0) & (near < members) & (sim >= kth[:, None] - index.slack)
+        # a label is handed on among those at home only, and where both are about as near as the other's best:
+        # what has its near ones across a border would else tie strangers together
+        label = (ids[:members].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        r, c = np.nonzero(keep[:members])
+        n = near[r, c]
+        mutual = sim[r, c] >= kth[n] - index.slack
+        r, n = r[mutual], n[mutual]
+        last = label.copy()
+        for _ in range(index.rounds):
+            step = last.copy()
+            np.minimum.at(step, r, last[n])
+            np.minimum.at(step, n, last[r])
+            last = step
+            # where all hangs together a label is handed on less far, so that groups stay small
+            _, back, count = np.unique(step, return_inverse=True, return_counts=True)
+            label = np.where(count[back] <= index.shard_rows, step, label)
+        r, c = np.nonzero(keep)
+        rows = np.concatenate([r, np.arange(members)])
+        labels = np.concatenate([label[near[r, c]], label])
+        sims = np.concatenate([sim[r, c], np.ones(members, np.float32)])
+        by = np.lexsort((-sims, labels, rows))
+        rows, labels, sims = rows[by], labels[by], sims[by]
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows[1:] != rows[:-1]) | (labels[1:] != labels[:-1])
+        rows, labels, sims = rows[first], labels[first], sims[first]
+        return pa.table({"vec_id": pa.array(ids[rows], pa.int64()), "label": pa.array(labels, pa.int64()), "sim": pa.array(sims, pa.float32()), "kth": pa.array(kth[rows], pa.float32())})
+
+    return run
+
+
+def _groups(labelled: DataFrame, index: GraphIndex) -> DataFrame:
+    """``(vec_id, group)`` of each code: the labels of what is about as near it as the best ``k`` of all its regions.
+
+    A label becomes the smallest that goes with it in some vector, so what a region's border parts is together again,
+    unless that would make a group too large for a shard.
+    """
+    each = labelled.groupBy("vec_id").agg(F.max("kth").alias("kth"), F.collect_list(F.struct("label", "sim")).alias("seen"))
+    kept = F.array_distinct(F.transform(F.filter("seen", lambda x: x["sim"] >= F.col("kth") - F.lit(index.slack)), lambda x: x["label"]))
+    each = cut(each.select("vec_id", kept.alias("labels")))
+    pairs = each.select("vec_id", F.explode("labels").alias("label"), F.array_min("labels").alias("least"))
+    least = pairs.groupBy("label").agg(F.min("least").alias("group"), F.count(F.lit(1)).alias("n"))
+    too_large = least.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > index.shard_rows).select("group", F.lit(True).alias("too_large"))
+    least = least.join(too_large, "group", "left").select("label", F.when(F.col("too_large"), F.col("label")).otherwise(F.col("group")).alias("group"))
+    return cut(pairs.select("vec_id", "label").join(least, "label").select("vec_id", "group").distinct())
+
+
+_PACKED = "vec_id bigint, data binary"
+
+
+def _packed(index: GraphIndex):
+    """Batches of ``(vec_id, features)`` to the usable vectors as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, m = matrix(batch.column(1), index.dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(pack(m), pa.binary())], names=["vec_id", "data"])
+
+    return run
+
+
 def _best(q: np.ndarray, n: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` best rows of each ``q``: highest ``c``, then smallest ``n``; repeats once."""
     order = np.lexsort((n, -c, q))
@@ -206,27 +346,20 @@ def _search_shard(index: GraphIndex):
         if members == 0 or len(ids) < 2:
             return none
         u = unit(full)
-        low = u @ orthonormal(index.dim, index.width, index.seed)
-        graph = ShardGraph(low[:members], index.degree, index.build_pool, index.build_expand, index.relax, seed=index.seed)
-        graph.pool, graph.expand = index.pool, index.expand
-        own, _ = graph.search(low[:members], start=np.arange(members, dtype=np.int32))
-        found = [own, graph.search(low[members:])[0]] if len(ids) > members else [own]
-        beams = np.concatenate(found)
         length = np.sqrt(np.einsum("ij,ij->i", full, full, dtype=np.float64))
         keep = index.k + 3
         qs, ns = [], []
-        for at in range(0, len(beams), 512):
-            b = beams[at : at + 512]
-            some = np.where(b < 0, 0, b)
-            near = np.matmul(u[some], u[at : at + 512][:, :, None])[:, :, 0]
-            near[(b < 0) | (b == np.arange(at, at + len(b))[:, None])] = -9
-            take, last = min(keep, b.shape[1]), min(index.k, b.shape[1])
+        for at in range(0, len(u), 512):
+            near = u[at : at + 512] @ u[:members].T
+            own = np.arange(at, min(at + len(near), members))
+            near[own - at, own] = -9
+            take, last = min(keep, members), min(index.k, members)
             top = -np.partition(-near, sorted({last - 1, take - 1}), axis=1)
             # whatever may tie with the k-th once rounded goes to the exact ranking too
             least = np.minimum(top[:, take - 1], top[:, last - 1] - 2e-6)
             r, c = np.nonzero((near >= least[:, None]) & (near > -9))
             qs.append(at + r)
-            ns.append(b[r, c])
+            ns.append(c)
         q, n = np.concatenate(qs), np.concatenate(ns)
         cos = np.empty(len(q))
         for at in range(0, len(q), 8192):
@@ -260,20 +393,37 @@ def nearest(df: DataFrame, id_col: str = "vec_id", features: str = "features", i
     if not drawn:
         return spark.createDataFrame([], "vec_id bigint, rank int, other_id bigint, cosine double")
     sample = np.frombuffer(b"".join(drawn), "<f4").reshape(len(drawn), -1)
-    wanted = min(-(-rows // index.shard_rows), max(1, len(sample) // index.per_centre))
-    centres = fit_centres(sample, wanted, index.seed)
+    regions = max(-(-rows // index.region_rows), min(index.regions, -(-rows // (2 * index.shard_rows))))
+    centres = fit_centres(sample, min(regions, max(1, len(sample) // index.per_centre)), index.seed)
     share = np.bincount(_nearest_centre(sample, centres), minlength=len(centres)) / len(sample)
-    parts = np.maximum(1, np.ceil(share * rows / (2 * index.shard_rows))).astype(np.int64)
+    parts = np.maximum(1, np.ceil(share * regions / 2)).astype(np.int64)
 
     copies = cut(_copies(hashed.drop("low"), index))
     extra = copies.where(F.col("vec_id") != F.col("rep")).select("vec_id")
     # the ids that stay out go to every task only if few; else both sides are shuffled by id
     few_extra = extra.count() <= index.broadcast_ids
-    routed = df.mapInArrow(_route(index, centres, parts), "shard int, part int, home boolean, vec_id bigint, data binary")
+    routed = df.mapInArrow(_route(index, centres, parts), "region int, part int, home boolean, vec_id bigint, code binary")
     routed = routed.join(F.broadcast(extra) if few_extra else extra, "vec_id", "left_anti")
-    # a task per shard or so, however many shards there are
-    shards = routed.repartition(int(min(index.tasks, max(width(spark), 2 * parts.sum()))), "shard", "part")
-    found = shards.groupBy("shard", "part").applyInArrow(_search_shard(index), "vec_id bigint, other_id bigint, cosine double")
+    # a task per region or shard or so, however many there are
+    routed = routed.repartition(int(min(index.tasks, max(width(spark), 2 * parts.sum()))), "region", "part")
+    groups = _groups(routed.groupBy("region", "part").applyInArrow(_label_region(index), _LABELS), index)
+    sizes = groups.groupBy("group").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    many = -(-total // index.shard_rows)
+    # small groups share shards; a large one has shards of its own, numbered on
+    large_groups = sizes.where(F.col("count") > 2 * index.shard_rows).select("group", F.ceil(F.col("count") / index.shard_rows).cast("int").alias("pieces"))
+    placed = groups.join(large_groups, "group", "left")
+    own_piece = F.pmod(F.xxhash64("vec_id"), F.coalesce("pieces", F.lit(1))).cast("int")
+    placed = placed.select(
+        "vec_id",
+        F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("group"), F.lit(max(1, many)))).otherwise(F.col("group")).alias("shard"),
+        own_piece.alias("own"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("part"),
+        F.col("pieces").isNotNull().alias("large"),
+    )
+    placed = placed.groupBy("vec_id", "shard", "part", "large").agg(F.max(F.col("own") == F.col("part")).alias("home"))
+    shards = df.mapInArrow(_packed(index), _PACKED).join(placed, "vec_id").repartition(int(min(index.tasks, max(width(spark), 2 * many))), "shard", "part", "large")
+    found = shards.groupBy("shard", "part", "large").applyInArrow(_search_shard(index), "vec_id bigint, other_id bigint, cosine double")
 
     # copies: each class stands for its k + 1 smallest ids
     few = copies.withColumn("no", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("no") <= k + 1).select("rep", F.col("vec_id").alias("copy_id"))

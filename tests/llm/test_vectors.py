@@ -83,6 +83,15 @@ def test_recall_in_a_skewed_family(spark):
     assert np.mean(hits) >= 0.95
 
 
+def test_no_neighbour_is_lost_however_many_shards(spark):
+    m = families(41, 2000, 48, spread=0.65)
+    got = {}
+    for r in nearest(table(spark, enumerate(m)), index=GraphIndex(dim=48, shard_rows=64, width=48, margin=0.3)).collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    want = exact(list(range(len(m))), m, 5)
+    assert np.mean([len({o for o, _ in want[i]} & got[i]) / 5 for i in want]) >= 0.99
+
+
 def test_many_centres_are_fitted_in_two_levels():
     m = vectors.unit(np.random.default_rng(3).normal(size=(6000, 16)).astype(np.float32))
     c = fit_centres(m, 400, 1)
